@@ -1,16 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from . import decontamination, media, mixing, secrets, toxicity
+from . import decontamination, media, mixing, scoring, secrets, substrings, toxicity
 
 QUERIES = {
+    "op2_lm_scoring": scoring.op2_lm_scoring,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media_columns": media.op7_media_columns,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
 }
 SQL = {
     "op3_secret_scans": secrets.SQL,
     "op4_decontamination": decontamination.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_substring_dedup": substrings.SQL,
 }
