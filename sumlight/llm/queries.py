@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
-from . import decontamination, media, mixing, scoring, secrets, substrings, toxicity
+from . import decontamination, media, mixing, ngram_join, scoring, secrets, substrings, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_lm_scoring": scoring.op2_lm_scoring,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_decontamination": decontamination.op4_decontamination,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_substring_dedup": substrings.op9_substring_dedup,
 }
 SQL = {
+    "op1_ngram_join": ngram_join.SQL,
     "op3_secret_scans": secrets.SQL,
     "op4_decontamination": decontamination.SQL,
     "op8_mixing": mixing.SQL,
