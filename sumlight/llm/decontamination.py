@@ -57,8 +57,8 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if size <= MOST_BROADCAST else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """op4's columns for every row of docs."""
+def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """rk (a key of the row: xxhash64 of doc_id and text), at, span, item_id: where items' windows occur."""
     prepare(docs.sparkSession)
     texts = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
     bench = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -74,7 +74,19 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         cut = cut.select("rk", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.slice(F.col("words"), i, n))).alias("at", "window"))
         own = windows.where(F.col("span") == n).select("item_id", "window")
         hits = hits.union(cut.join(small(own, bytes_of), "window").select("rk", "at", F.lit(n).alias("span"), "item_id"))
+    return hits
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that hold no window of an item, with their columns."""
+    keyed = docs.withColumn("decontamination_rk", F.xxhash64("doc_id", "text"))
+    hit = find_hits(docs, items).select(F.col("rk").alias("decontamination_rk")).distinct()
+    return keyed.join(hit, "decontamination_rk", "left_anti").select(docs.columns)
 
+
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """op4's columns for every row of docs."""
+    hits = find_hits(docs, items)
     places = hits.groupBy("rk", "at").agg(F.max("span").alias("span"))
     covered = places.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("runs"))
     step = lambda s, r: F.struct(F.greatest(s["upto"], r["at"] + r["span"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), r["at"] + r["span"] - F.greatest(s["upto"], r["at"]))).alias("n"))

@@ -15,7 +15,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -112,7 +111,6 @@ def encode(payload: bytes) -> bytes:
     return front + _scan(blocks) + b"\xff\xd9"
 
 
-@functools.lru_cache(64)
 def lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     """For each 16 bits that may come next: 256 * length + symbol of the code they begin with, 0 if none."""
     table = np.zeros(65536, np.int32)
@@ -244,7 +242,8 @@ def decode_many(images: list[bytes]) -> list[Image | None]:
     while waiting:
         some = waiting.pop()
         try:
-            scans = _decode_scans([x[2] for x in some], some[0][3], [x[4] for x in some], some[0][5])
+            plan = [(c, lookup(*dc), lookup(*ac)) for c, dc, ac in some[0][3]]
+            scans = _decode_scans([x[2] for x in some], plan, [x[4] for x in some], some[0][5])
         except (ValueError, IndexError):
             if len(some) > 1:  # one is damaged: each by itself
                 waiting += [[x] for x in some]
@@ -303,7 +302,7 @@ def _parse(data: bytes) -> tuple:
     wide, high = max(c.across for c in frame), max(c.down for c in frame)
     across = -(-width // 8) if alone else -(-width // (8 * wide))
     down = -(-height // 8) if alone else -(-height // (8 * high))
-    plan = [(i, lookup(*tables[c.dc]), lookup(*tables[16 + c.ac])) for i, c in enumerate(frame) for _ in range(1 if alone else c.across * c.down)]
+    plan = [(i, tables[c.dc], tables[16 + c.ac]) for i, c in enumerate(frame) for _ in range(1 if alone else c.across * c.down)]
     sign += repr([(c.across, c.down, c.dc, c.ac) for c in frame]).encode()
     return Image(width, height, frame, quant, [], across), data[at:end], plan, across * down, interval, sign
 
