@@ -42,8 +42,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def part_count(spark: SparkSession, items: int, per_part: int) -> int:
-    """Partitions such that none gets many more than per_part items."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(items) // per_part))
+    """Partitions such that none gets many more than per_part items, and two for each core at least.
+
+    A document gets an answer from each partition that holds some of its entries, so there are no more than that.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-int(items) // per_part))
 
 
 def crc(column) -> F.Column:
