@@ -40,6 +40,8 @@ SHARE = 20
 CELLS = 8
 ROUNDS = 60
 PER_PART = 6_000_000
+#: Tokens that a task holds at a time; there are a dozen arrays of that length.
+CHUNK = 1_500_000
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Numbers of contexts: rare or unknown words, a text's beginning, then the frequent words from 2 on.
 RARE, BEGIN = 0, 1
@@ -64,7 +66,7 @@ def _roles(chunk: Chunk) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for chunk in chunks(batches, _tokens(known)):
+    for chunk in chunks(batches, _tokens(known), CHUNK):
         role = np.repeat(_roles(chunk), chunk.lengths())
         use = role > 0
         word, place = np.unique(chunk.tokens[use], return_inverse=True)
@@ -125,7 +127,7 @@ def _send_counts(sent, parts: int):
     """Counts of pairs, of the chunk's training tokens: n with all of them, kept without the held-out ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes = Known(*sent.value), WordHashes()
-        for chunk in chunks(batches, _tokens(hashes)):
+        for chunk in chunks(batches, _tokens(hashes), CHUNK):
             context, own, key = _pairs(chunk, known)
             role = np.repeat(_roles(chunk), chunk.lengths())
             use = np.flatnonzero(role > 0)
@@ -156,6 +158,18 @@ def _keys(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate([widen(r["second"], 3 if kind == 0 else 6) for r in rows])
 
 
+def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(second * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
+
+
+def _totals(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """For each entry, how many counted ones have its key."""
+    order, begin = groups(key)
+    sums = np.empty(len(key), np.int32)
+    sums[order] = np.repeat(np.add.reduceat(counted[order], begin, dtype=np.int32), np.diff(np.append(begin, len(key))))
+    return sums
+
+
 def bucket(count: np.ndarray) -> np.ndarray:
     """0 for a context never counted, else 1 + log2."""
     return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64)
@@ -173,7 +187,7 @@ def _statistics(sent, totals: dict, parts: int):
             first, second = _keys(rows, kind)
             n = np.concatenate([np.diff(unpack_gaps(r["counts"]), prepend=0) for r in rows])
             kept = np.concatenate([np.diff(unpack_gaps(r["kept"]), prepend=0) for r in rows])
-            order, begin = groups(mix(second * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)))
+            order, begin = groups(_pair_key(first, second))
             n, kept = np.add.reduceat(n[order], begin), np.add.reduceat(kept[order], begin)
             one = order[begin]
             first, second = first[one], second[one]
@@ -255,7 +269,7 @@ def _send_tokens(sent, parts: int):
         words, n_word, kept_word, pairs, pair_n, totals, weights = sent.value
         known, hashes = Known(words, n_word, kept_word), WordHashes()
         model = Model(known, totals, weights)
-        for chunk in chunks(batches, _tokens(hashes)):
+        for chunk in chunks(batches, _tokens(hashes), CHUNK):
             context, own, key = _pairs(chunk, known)
             owner = chunk.owner()
             code = (context.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)
@@ -293,23 +307,17 @@ def _score_tokens(sent):
         for kind, rows in held.items():
             if not rows:
                 continue
-            first, second = _keys(rows, kind)
-            docs = [unpack_gaps(r["counts"]) for r in rows]
-            counted = np.concatenate([np.frombuffer(r["kept"], bool)[d] for r, d in zip(rows, docs, strict=True)])
-
-            def totals_of(key: np.ndarray) -> np.ndarray:
-                order, begin = groups(key)
-                sums = np.empty(len(key))
-                sums[order] = np.repeat(np.add.reduceat(counted[order].astype(np.float64), begin), np.diff(np.append(begin, len(key))))
-                return sums
-
-            pair = totals_of(mix(second * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)))
-            word = model.context[second.astype(np.int64)] if kind == 0 else totals_of(second)
-            score, base = model.logs(first, pair, word)
+            counted = np.concatenate([np.frombuffer(r["kept"], bool)[unpack_gaps(r["counts"])] for r in rows])
+            pair = _totals(np.concatenate([_pair_key(*_keys([r], kind)) for r in rows]), counted)
+            word = _totals(np.concatenate([_keys([r], kind)[1] for r in rows]), counted) if kind else None
             at = 0
-            for row, doc in zip(rows, docs, strict=True):
-                rks, own = np.frombuffer(row["rks"], "<i8"), slice(at, at + len(doc))
-                yield out(rks, *[np.bincount(doc, x[own], minlength=len(rks)) for x in (score, base)], np.bincount(doc, word[own] > 0, minlength=len(rks)).astype(np.int64))
+            for row in rows:
+                doc, rks = unpack_gaps(row["counts"]), np.frombuffer(row["rks"], "<i8")
+                own = slice(at, at + len(doc))
+                first, second = _keys([row], kind)
+                seen = word[own] if kind else model.context[second.astype(np.int64)]
+                score, base = model.logs(first, pair[own], seen)
+                yield out(rks, *[np.bincount(doc, x, minlength=len(rks)) for x in (score, base)], np.bincount(doc, seen > 0, minlength=len(rks)).astype(np.int64))
                 at += len(doc)
 
     return run
