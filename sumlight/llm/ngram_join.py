@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_part, chunks, components, documents, grams, groups, mix, narrow, pack_gaps, part_count, parts_of, prepare, read, unpack_gaps, widen
+from .common import WordHashes, by_part, chunks, components, documents, grams, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 #: Entries that a partition of the index holds.
 PER_PART = 8_000_000
@@ -130,7 +130,7 @@ def _frequent(n: int):
 _SENT = "part int, keys binary, gaps binary, sets binary"
 
 
-def _index(sent, n: int, threshold: Fraction, parts: int):
+def _index(sent, n: int, threshold: Fraction, dealt: np.ndarray):
     """Chunks' keys with the sets (by digest) that have them; and, as part -1, sets of the chunk tied by a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scheme, cache, often = WordHashes(), Scheme(threshold), {}, sent.value
@@ -152,10 +152,10 @@ def _index(sent, n: int, threshold: Fraction, parts: int):
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([names[pairs[:, 0]].astype("<i8").tobytes()], pa.binary()), pa.array([names[pairs[:, 1]].astype("<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["part", "keys", "gaps", "sets"])
             one = np.sort(order[begin])
-            for p, some in by_part(parts_of(key[one], parts), parts):
+            for p, some in by_part(parts_of(key[one], len(dealt)), len(dealt)):
                 at = one[some]
                 held, place = np.unique(owner[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([narrow(key[at], 8)], pa.binary()), pa.array([pack_gaps(place)], pa.binary()), pa.array([names[held].astype("<i8").tobytes()], pa.binary())], ["part", "keys", "gaps", "sets"])
+                yield pa.RecordBatch.from_arrays([pa.array([dealt[p]], pa.int32()), pa.array([narrow(key[at], 8)], pa.binary()), pa.array([pack_gaps(place)], pa.binary()), pa.array([names[held].astype("<i8").tobytes()], pa.binary())], ["part", "keys", "gaps", "sets"])
 
     return run
 
@@ -313,8 +313,8 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     # At most 2**(SHARE + 1) shingles can have so many occurrences.
     often = heavy.where(F.col("n") > max(8, total >> (SHARE + 1))).select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.sort(often))
-    parts = part_count(spark, total // 2, PER_PART)
-    stars = texts.mapInArrow(_index(sent, n, threshold, parts), _SENT).repartition(parts, "part").mapInArrow(_stars, "a long, b long")
+    dealt = part_keys(spark, part_count(spark, total // 2, PER_PART))
+    stars = texts.mapInArrow(_index(sent, n, threshold, dealt), _SENT).repartition(len(dealt), "part").mapInArrow(_stars, "a long, b long")
     clusters = components(stars).withColumnRenamed("component", "cluster")
 
     rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long").checkpoint()

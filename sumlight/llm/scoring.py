@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, WordHashes, by_part, chunks, crc_of, documents, groups, mix, narrow, pack_gaps, part_count, prepare, read, unpack_gaps, widen
+from .common import Chunk, WordHashes, by_part, chunks, crc_of, documents, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 #: Training documents have crc32(doc_id) % FOLDS != HELD.
 FOLDS, HELD = 7, 2
@@ -112,18 +112,18 @@ def _row(*values: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES, strict=True)], _FIELDS)
 
 
-def _split(context: np.ndarray, own: np.ndarray, tokens: np.ndarray, key: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray, bytes, bytes]]:
+def _split(context: np.ndarray, own: np.ndarray, tokens: np.ndarray, key: np.ndarray, dealt: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, bytes, bytes]]:
     """part, kind, the tokens it is about, and the packed pair: kind 0 two numbers, kind 1 a number and a word."""
-    part = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    part = parts_of(key, len(dealt))
     for kind in (0, 1):
         some = np.flatnonzero((own == RARE) == (kind == 1))
-        for p, at in by_part(part[some], parts):
+        for p, at in by_part(part[some], len(dealt)):
             at = some[at]
             second = narrow(own[at].astype(np.uint64), 3) if kind == 0 else narrow(tokens[at], 6)
-            yield p, kind, at, narrow(context[at].astype(np.uint64), 3), second
+            yield int(dealt[p]), kind, at, narrow(context[at].astype(np.uint64), 3), second
 
 
-def _send_counts(sent, parts: int):
+def _send_counts(sent, dealt: np.ndarray):
     """Counts of pairs, of the chunk's training tokens: n with all of them, kept without the held-out ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes = Known(*sent.value), WordHashes()
@@ -138,7 +138,7 @@ def _send_counts(sent, parts: int):
             n = np.diff(np.append(begin, len(order)))
             kept = np.add.reduceat((role[use][order] == 1).astype(np.int64), begin)
             one = use[order[begin]]
-            for p, kind, at, first, second in _split(context[one], own[one], chunk.tokens[one], key[one], parts):
+            for p, kind, at, first, second in _split(context[one], own[one], chunk.tokens[one], key[one], dealt):
                 yield _row(p, kind, first, second, pack_gaps(np.cumsum(n[at])), pack_gaps(np.cumsum(kept[at])), None, None)
 
     return run
@@ -175,7 +175,7 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64)
 
 
-def _statistics(sent, totals: dict, parts: int):
+def _statistics(sent, totals: dict):
     """For EM: held-out tokens by bucket and cell of both estimates; and the frequent pairs with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_word, kept_word = sent.value
@@ -263,7 +263,7 @@ class Model:
         return np.log10(p), np.log10((word + 1) / self.base)
 
 
-def _send_tokens(sent, parts: int):
+def _send_tokens(sent, dealt: np.ndarray):
     """Tokens to where their counts are, but for frequent pairs: of those the sums are given at once, as kind 2."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_word, kept_word, pairs, pair_n, totals, weights = sent.value
@@ -279,10 +279,10 @@ def _send_tokens(sent, parts: int):
             score, base = model.logs(context[some], pair_n[at[some]], model.context[own[some]])
             n_docs = len(chunk.ids)
             sums = [np.bincount(owner[some], x, minlength=n_docs) for x in (score, base, np.ones(len(some)))]
-            yield _row(int(chunk.rk[0]) % parts, 2, sums[0].astype("<f8").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<i8").tobytes(), None, chunk.lengths().astype("<i8").tobytes(), chunk.rk.astype("<i8").tobytes())
+            yield _row(int(dealt[int(chunk.rk[0]) % len(dealt)]), 2, sums[0].astype("<f8").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<i8").tobytes(), None, chunk.lengths().astype("<i8").tobytes(), chunk.rk.astype("<i8").tobytes())
             rest = np.flatnonzero(~often)
             counted = _roles(chunk) > 0
-            for p, kind, at, first, second in _split(context[rest], own[rest], chunk.tokens[rest], key[rest], parts):
+            for p, kind, at, first, second in _split(context[rest], own[rest], chunk.tokens[rest], key[rest], dealt):
                 docs, place = np.unique(owner[rest[at]], return_inverse=True)
                 yield _row(p, kind, first, second, pack_gaps(place), counted[docs].tobytes(), None, chunk.rk[docs].astype("<i8").tobytes())
 
@@ -339,10 +339,11 @@ def score(docs: DataFrame) -> DataFrame:
     words = known.words, known.n, known.kept
     totals = {"n": n, "v": v, "kept": kept, "least": least, "begin": ends or 0, "begin_kept": ends_kept or 0}
     totals |= {"rare": n - int(known.n.sum()), "rare_kept": kept - int(known.kept.sum())}
-    parts = part_count(spark, n, PER_PART)
+    dealt = part_keys(spark, part_count(spark, n, PER_PART))
+    parts = len(dealt)
 
     sent = sc.broadcast(words)
-    found = texts.mapInArrow(_send_counts(sent, parts), _SENT).repartition(parts, "part").mapInArrow(_statistics(sent, totals, parts), "cell long, bucket long, weight double, p2 double, p1 double, count long").groupBy("cell", "bucket").agg(F.sum("weight").alias("weight"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"), F.max("count").alias("count")).toArrow()
+    found = texts.mapInArrow(_send_counts(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_statistics(sent, totals), "cell long, bucket long, weight double, p2 double, p1 double, count long").groupBy("cell", "bucket").agg(F.sum("weight").alias("weight"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"), F.max("count").alias("count")).toArrow()
     # Cells are at most buckets x cells**2; pairs with their share at most 2**SHARE.
     is_pair = np.array(found["bucket"].is_null())
     weight = found["weight"].to_numpy()[~is_pair]
@@ -353,7 +354,7 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(pairs)
 
     sent = sc.broadcast((*words, pairs[order], pair_n[order], totals, weights))
-    scored = texts.mapInArrow(_send_tokens(sent, parts), _SENT).repartition(parts, "part").mapInArrow(_score_tokens(sent), "rk long, score double, base_score double, n_known long")
+    scored = texts.mapInArrow(_send_tokens(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_score_tokens(sent), "rk long, score double, base_score double, n_known long")
     # Equal rows have one key, so a sum is of all of them together.
     sums = scored.groupBy("rk").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
     own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, WordHashes, by_part, chunks, documents, grams, groups, narrow, pack_gaps, part_count, parts_of, prepare, read, unpack_gaps, widen
+from .common import Chunk, WordHashes, by_part, chunks, documents, grams, groups, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 SPAN = 13
 PERIOD = 7
@@ -110,9 +110,9 @@ def _rows(chunk: Chunk, at: np.ndarray, part: int, width: int, keys: bytes) -> t
     return part, width, keys, pack_gaps(inside + np.repeat(base[:-1], count)), base.astype("<i8").tobytes(), chunk.rk[docs].astype("<i8").tobytes(), chunk.ids[docs].astype("<i8").tobytes()
 
 
-def _send(entries: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], parts: int, width: int, shared: bool, extra: str | None) -> Callable:
+def _send(entries: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], dealt: np.ndarray, width: int, shared: bool, extra: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, parts = WordHashes(), len(dealt)
         turn = 0
         for chunk in chunks(batches, lambda text: known.of(text.split()), extra=extra):
             keys, at = entries(chunk)
@@ -122,10 +122,10 @@ def _send(entries: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], parts: int,
             here = np.flatnonzero(flagged)
             if len(here):  # settled in the chunk: on its way back it passes some partition
                 turn += 1
-                rows.append(_rows(chunk, at[here], (int(chunk.rk[0]) + turn) % parts, 0, b""))
+                rows.append(_rows(chunk, at[here], int(dealt[(int(chunk.rk[0]) + turn) % parts]), 0, b""))
             sent = np.flatnonzero(least)
             for part, some in by_part(parts_of(keys[sent], parts), parts):
-                rows.append(_rows(chunk, at[sent[some]], part, width, narrow(keys[sent[some]], width)))
+                rows.append(_rows(chunk, at[sent[some]], int(dealt[part]), width, narrow(keys[sent[some]], width)))
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _TYPES, strict=True)], _FIELDS)
 
@@ -168,10 +168,10 @@ def _answer(shared: bool) -> Callable:
     return run
 
 
-def flagged(docs: DataFrame, entries: Callable, parts: int, width: int, shared: bool, extra: str | None = None) -> DataFrame:
+def flagged(docs: DataFrame, entries: Callable, dealt: np.ndarray, width: int, shared: bool, extra: str | None = None) -> DataFrame:
     """rk and bodies: packed positions of a document's entries that other documents share."""
-    sent = docs.mapInArrow(_send(entries, parts, width, shared, extra), _SENT)
-    return sent.repartition(parts, "part").mapInArrow(_answer(shared), "rk long, body binary").groupBy("rk").agg(F.collect_list("body").alias("bodies"))
+    sent = docs.mapInArrow(_send(entries, dealt, width, shared, extra), _SENT)
+    return sent.repartition(len(dealt), "part").mapInArrow(_answer(shared), "rk long, body binary").groupBy("rk").agg(F.collect_list("body").alias("bodies"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -180,11 +180,11 @@ def removals(docs: DataFrame) -> DataFrame:
     prepare(spark)
     texts = documents(docs)
     words = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = part_count(spark, words // 6, PER_PART)
-    anchors = flagged(texts, _anchors, parts, ANCHOR_BYTES, shared=True)
+    dealt = part_keys(spark, part_count(spark, words // 6, PER_PART))
+    anchors = flagged(texts, _anchors, dealt, ANCHOR_BYTES, shared=True)
     # Texts without flagged anchors need no second look.
     marked = texts.join(anchors, "rk")
-    windows = flagged(marked, _windows, parts, WINDOW_BYTES, shared=False, extra="bodies")
+    windows = flagged(marked, _windows, dealt, WINDOW_BYTES, shared=False, extra="bodies")
     return texts.join(windows, "rk", "left")
 
 
