@@ -1 +1,10 @@
-"""Sums of scoring functions over embedding tables, exact and estimated, as Spark plans."""
+"""Sums of scoring functions over embedding tables, exact and estimated, as Spark plans.
+
+Functions that run in Python workers travel by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
