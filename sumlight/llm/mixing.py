@@ -11,7 +11,7 @@ as empty text. Rows with one doc_id share their hash and are taken or left toget
 result. Other columns of the input are ignored by `mix` and kept by `apply_mix`.
 
 Scale: documents are scanned once for (source, hash, size), which is cut off by checkpoint(); a round then sums at
-most sources x 32768 rows. The thresholds, one row a source, reach the documents by a join on source and salt, so a
+most sources x 4096 rows. The thresholds, one row a source, reach the documents by a join on source and salt, so a
 source with a third of all rows is spread over SALTS partitions.
 """
 
@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 #: A target is this many times its source's size at most.
 MOST = 3
 #: Bits of the hash, and those that one round settles.
-BITS, STEP = 60, 15
+BITS, STEP = 60, 12
 SALTS = 16
 
 
