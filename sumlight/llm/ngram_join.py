@@ -9,7 +9,9 @@ of m = d + 1 + e positions e + 1 are equal. Frequent shingles (about 2**-SHARE o
 they are broadcast) are left out of the keys, and positions without others have no key: as long as one of two sets has
 at most e such positions, they still share a key. Sets with more of them are indexed a second time with all shingles.
 Sizes are classed in steps of the threshold; a set is indexed under its class and the one above, so any two sets that
-may link meet under the larger one's class. Lists of one set are skipped.
+may link meet under the larger one's class. Lists of one set are skipped. In lists of up to SHORT sets each two sets'
+sketches are held against each other: parities of hash buckets, of which sets that link differ in at most d. Longer
+lists, near copies mostly, tie their sets to one of them without that.
 
 Set relations. Sets that meet in a list are of one neighbourhood, found by stars of lists, not by pairs. Equal sets
 are first made one. A neighbourhood is ordered by size and cut into blocks of BLOCK sets; a pair of blocks whose sizes
@@ -45,6 +47,8 @@ from .common import WordHashes, by_part, chunks, components, documents, grams, g
 PER_PART = 8_000_000
 BLOCK = 128
 BLOCK_SHINGLES = 100_000
+#: Sets of a list that are compared with each other; and those of one chunk, beyond which the list counts as longer.
+SHORT, SHORT_IN_CHUNK = 32, 8
 #: Shingles with this share of all, as a power of two, are frequent.
 SHARE = 18
 
@@ -127,7 +131,9 @@ def _frequent(n: int):
     return run
 
 
-_SENT = "part int, keys binary, gaps binary, sets binary"
+_SENT = "part int, long boolean, keys binary, gaps binary, sets binary"
+_FIELDS = ["part", "long", "keys", "gaps", "sets"]
+_TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 3]
 
 
 def _index(sent, n: int, threshold: Fraction, dealt: np.ndarray):
@@ -146,53 +152,101 @@ def _index(sent, n: int, threshold: Fraction, dealt: np.ndarray):
             key = np.concatenate(list(sets.values()))
             owner = np.repeat(np.arange(len(names)), [len(x) for x in sets.values()])
             order, begin = groups(key)
-            first = owner[order[begin]]
-            tied = np.repeat(first, np.diff(np.append(begin, len(order))))
-            pairs = np.unique(np.stack([owner[order], tied], axis=1)[owner[order] != tied], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([names[pairs[:, 0]].astype("<i8").tobytes()], pa.binary()), pa.array([names[pairs[:, 1]].astype("<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["part", "keys", "gaps", "sets"])
-            one = np.sort(order[begin])
-            for p, some in by_part(parts_of(key[one], len(dealt)), len(dealt)):
-                at = one[some]
-                held, place = np.unique(owner[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([dealt[p]], pa.int32()), pa.array([narrow(key[at], 8)], pa.binary()), pa.array([pack_gaps(place)], pa.binary()), pa.array([names[held].astype("<i8").tobytes()], pa.binary())], ["part", "keys", "gaps", "sets"])
+            size = np.diff(np.append(begin, len(order)))
+            many = np.repeat(size > SHORT_IN_CHUNK, size)
+            tied = np.repeat(owner[order[begin]], size)
+            pairs = np.unique(np.stack([owner[order], tied], axis=1)[many & (owner[order] != tied)], axis=0)
+            rows = []
+            if len(pairs):  # these are tied here, and only the first goes on
+                rows.append((-1, True, names[pairs[:, 0]].astype("<i8").tobytes(), names[pairs[:, 1]].astype("<i8").tobytes(), b""))
+            for long, sent_on in ((True, order[begin[size > SHORT_IN_CHUNK]]), (False, order[~many])):
+                sent_on = np.sort(sent_on)
+                for p, some in by_part(parts_of(key[sent_on], len(dealt)), len(dealt)):
+                    at = sent_on[some]
+                    held, place = np.unique(owner[at], return_inverse=True)
+                    rows.append((int(dealt[p]), long, narrow(key[at], 8), pack_gaps(place), names[held].astype("<i8").tobytes()))
+            for row in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], _FIELDS)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets tied by a key: each with the least of its list."""
-    keys, sets = [], []
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a key: all of a short list, to be compared; of a long one each set with the least."""
+    keys, sets, long = [], [], []
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def out(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), sure))], ["a", "b", "sure"])
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["part"] < 0:
-                yield out(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["gaps"], "<i8"))
+                yield out(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["gaps"], "<i8"), True)
             else:
                 keys.append(widen(row["keys"], 8))
                 sets.append(np.frombuffer(row["sets"], "<i8")[unpack_gaps(row["gaps"])])
-    if keys:
-        key, name = np.concatenate(keys), np.concatenate(sets)
-        order, begin = groups(key)
-        least = np.repeat(np.minimum.reduceat(name[order], begin), np.diff(np.append(begin, len(order))))
-        yield out(name[order], least)
+                long.append(np.full(len(keys[-1]), row["long"]))
+    if not keys:
+        return
+    key, name, is_long = np.concatenate(keys), np.concatenate(sets), np.concatenate(long)
+    order, begin = groups(key)
+    name, size = name[order], np.diff(np.append(begin, len(order)))
+    star = np.logical_or.reduceat(is_long[order], begin) | (size > SHORT)
+    least = np.repeat(np.minimum.reduceat(name, begin), size)
+    own = np.repeat(star, size)
+    yield out(name[own], least[own], True)
+    found = [np.zeros((0, 2), np.int64)]
+    for n in range(2, SHORT + 1):
+        at = begin[(size == n) & ~star]
+        i, j = np.triu_indices(n, 1)
+        for some in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
+            a, b = name[(some[:, None] + i).ravel()], name[(some[:, None] + j).ravel()]
+            found.append(np.unique(np.stack([a, b], axis=1)[a != b], axis=0))
+    both = np.concatenate(found)
+    yield out(both[:, 0], both[:, 1], False)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """For a power of two of buckets, at least one for each shingle and at least 8: whether a bucket has an odd number."""
+    buckets = 1 << max(3, (len(hashes) - 1).bit_length())
+    odd = np.bincount((mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Buckets in which two sketches differ, after the longer one is folded: no more than the sets' shingles do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _compared(threshold: Fraction):
+    """Pairs whose sizes and sketches allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(threshold)
+        for batch in batches:
+            keep = [min(m, n) >= threshold * max(m, n) and sketches_differ(x, y) <= scheme.differ(m + n) for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("size_a", "size_b", "sketch_a", "sketch_b")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _sets(n: int):
-    """Each document's set: its digest, its size and, if wanted, the packed shingles."""
+    """Each document's set: its size, its digest and its sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, sketches = [], [], []
             for text in batch.column("text"):
                 hashes = shingles(known.of((text.as_py() or b"").lower().split()), n)
                 sizes.append(len(hashes))
                 names.append(_digest(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["rk", "doc_id", "n_shingles", "name"])
+                sketches.append(sketch(hashes) if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], ["rk", "doc_id", "n_shingles", "name", "sketch"])
 
     return run
 
@@ -314,11 +368,14 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     often = heavy.where(F.col("n") > max(8, total >> (SHARE + 1))).select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.sort(often))
     dealt = part_keys(spark, part_count(spark, total // 2, PER_PART))
-    stars = texts.mapInArrow(_index(sent, n, threshold, dealt), _SENT).repartition(len(dealt), "part").mapInArrow(_stars, "a long, b long")
-    clusters = components(stars).withColumnRenamed("component", "cluster")
+    ties = texts.mapInArrow(_index(sent, n, threshold, dealt), _SENT).repartition(len(dealt), "part").mapInArrow(_ties, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")).checkpoint()
 
-    rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long").checkpoint()
+    rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long, sketch binary").checkpoint()
     by_name = rows.where("name is not null").groupBy("name").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
+    sketches = rows.where("name is not null").groupBy("name").agg(F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
+    pairs = ties.where("not sure").select("a", "b").join(sketches.toDF("a", "size_a", "sketch_a"), "a").join(sketches.toDF("b", "size_b", "sketch_b"), "b")
+    near = pairs.mapInArrow(_compared(threshold), "a long, b long").union(ties.where("sure").select("a", "b"))
+    clusters = components(near).withColumnRenamed("component", "cluster")
     members = by_name.join(clusters.withColumnRenamed("node", "name"), "name")
     placed, pairs = blocks(members, threshold)
     sets = texts.select("rk", "text").join(placed.select("rk", "name", "cluster", "block", "copies"), "rk").select("name", "cluster", "block", "copies", "text")
@@ -330,7 +387,7 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     named = by_name.join(linked, "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").join(links, "name", "left").select("name", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.join(named, "name", "left")
+    out = rows.drop("sketch").join(named, "name", "left")
     own = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
