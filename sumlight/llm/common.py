@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words of a text, for Spark's regular expressions: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tokens that a Python task holds at a time.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 CHUNK_DOCS = 50_000
 LAST = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -30,7 +30,7 @@ def prepare(spark: SparkSession) -> None:
 
     The folder is the one that the cluster names; only where none is named (tests), one of the driver's is used.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
