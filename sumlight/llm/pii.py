@@ -9,7 +9,8 @@ A surrogate is a keyed permutation of the strings of one shape: digits stay digi
 stay such, separators and top-level domains stay; a known given name becomes another one of its gender and script; a
 card number that passes the Luhn check still does; an address stays unicast. Permutations keep entities of one
 shape distinct. The collision check covers the rest, over the whole corpus: a surrogate that equals some real entity,
-or another's surrogate, is replaced by the one of the next attempt, until none is left.
+or another's surrogate, is replaced by the one of the next attempt, until none is left. From LONGER attempts on, names and
+emails get longer by a letter an attempt and names leave the list, so a shape whose strings are all in use is no trap.
 
 Nulls and odd rows: a null text stays null and has no entities; a null doc_id is kept; repeated rows stay and get equal
 surrogates; an empty table gives an empty result. `replace` keeps all other columns; a column of the input may have
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import prepare, read
 
 KEY = b"sumlight surrogates"
+LONGER = 4
 KINDS = ("email", "card", "ssn", "phone", "ip", "name")
 
 # Given names by gender and script, titles by gender.
@@ -144,6 +146,7 @@ def _luhn(digits: str) -> int:
 def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity, in canonical form."""
     tweak = f"{kind}:{attempt}:".encode()
+    more = "a" * max(0, attempt - LONGER + 1)
     if kind == "card":
         body = reshaped(canon[:-1], key, tweak)
         return body + str((int(canon[-1]) - _luhn(canon[:-1]) + _luhn(body)) % 10)
@@ -162,9 +165,9 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "email":
         name, _, host = canon.partition("@")
         labels = host.split(".")
-        return reshaped(name, key, tweak + host.encode()) + "@" + ".".join([*[reshaped(x, key, tweak) for x in labels[:-1]], labels[-1]])
+        return reshaped(name + more, key, tweak + host.encode()) + "@" + ".".join([*[reshaped(x, key, tweak) for x in labels[:-1]], labels[-1]])
     if kind == "name":
-        return " ".join(_name(word, key, tweak) for word in canon.split(" "))
+        return " ".join(_name(word + more, key, tweak) for word in canon.split(" "))
     return reshaped(canon, key, tweak)
 
 
