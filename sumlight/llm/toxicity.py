@@ -104,12 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     return learn([(np.frombuffer(r["places"], np.int32), r["label"]) for r in rows])
 
 
-def score(docs: DataFrame, weights: Weights, *keep: str) -> DataFrame:
-    """The columns named, of docs with text, and score."""
+def score(docs: DataFrame, weights: Weights, *keep: str, into: str = "score") -> DataFrame:
+    """The columns named, of docs with text, and the score in a column of the name given."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((weights.places, weights.values, weights.bias))
     narrow = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(into, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, values, bias = sent.value
@@ -120,7 +120,7 @@ def score(docs: DataFrame, weights: Weights, *keep: str) -> DataFrame:
             out = 1.0 / (1.0 + np.exp(-np.clip(sums + bias, -500, 500)))
             if not len(places) and not bias:
                 out = np.full(len(sums), 0.5 * (1 - 1e-9))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], into])
 
     return narrow.mapInArrow(run, schema)
 
