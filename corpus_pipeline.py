@@ -15,8 +15,8 @@ from sumlight.llm.common import prepare, read
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from `labels`, doesn't mark as toxic."""
     prepare(spark)
-    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")), *docs.columns)
-    return scored.where(F.col("score") < 0.5).select(docs.columns)
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")), *docs.columns, into="toxicity_score")
+    return scored.where(F.col("toxicity_score") < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
