@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,7 +56,7 @@ _CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèé
 _CLASS = {c: (k, i) for k, letters in enumerate(_CLASSES) for i, c in enumerate(letters)}
 
 _PATTERNS = {
-    "email": r"[^\W_][\w.%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
+    "host": r"@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
@@ -63,20 +64,33 @@ _PATTERNS = {
     "name": r"(?<!\w)(?:" + "|".join(TITLES) + r")\.? (?:[^\W\d_a-z][^\W\d_]+)(?: [^\W\d_a-z][^\W\d_]+)?",
 }
 _DIGITS = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in ("card", "ssn", "phone", "ip")))
-_EMAIL, _NAME = re.compile(_PATTERNS["email"]), re.compile(_PATTERNS["name"])
+_HOST, _NAME, _LOCAL = re.compile(_PATTERNS["host"]), re.compile(_PATTERNS["name"]), re.compile(r"[\w.%+-]*")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int, str]]:
+    """From each @ with a host, back over what may precede it; so a long run of letters without one costs nothing."""
+    upto = 0
+    for m in _HOST.finditer(text):
+        at = m.start()
+        local = _LOCAL.match(text[upto:at][::-1])[0][::-1].lstrip("_.%+-")
+        if local:
+            yield at - len(local), m.end(), "email"
+        upto = m.end() if local else at + 1
 
 
 def found(text: str) -> list[tuple[int, int, str]]:
     """Entities as (start, end, kind), in order, not overlapping; of two that overlap, the one of the earlier kind."""
-    spans = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)] if "@" in text else []
+    spans = list(_emails(text))
     spans += [(m.start(), m.end(), m.lastgroup) for m in _DIGITS.finditer(text)]
     spans += [(m.start() + m[0].index(" ") + 1, m.end(), "name") for m in _NAME.finditer(text)]
     spans.sort(key=lambda s: (KINDS.index(s[2]), s[0]))
-    taken: list[tuple[int, int, str]] = []
+    starts, taken = [], []  # in order, side by side
     for s in spans:
-        if not any(s[0] < t[1] and t[0] < s[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        i = bisect_right(starts, s[0])
+        if (not i or taken[i - 1][1] <= s[0]) and (i == len(taken) or s[1] <= starts[i]):
+            starts.insert(i, s[0])
+            taken.insert(i, s)
+    return taken
 
 
 def canonical(kind: str, mention: str) -> str:

@@ -335,6 +335,13 @@ def test_pii_keeps_formats_and_coreference(frame, odd_rows):
     assert given in pii.NAMES["f", "latin"] and re.search(r"Mr\. (\w+) ", rows[71].text)[1] in pii.NAMES["m", "latin"]
 
 
+def test_pii_in_very_long_texts():
+    run, many = "x@ " + "a" * 1_000_000, [f"u{i}@ex.com" for i in range(50_000)]
+    assert pii.found(run) == [] and pii.found(f"{run}@b.com") == [(3, len(run) + 6, "email")]
+    assert len(pii.found(" ".join(many))) == len(many)
+    assert [text[a:b] for text in ["@b.com@c.org _.x@d.net a@b.com1@y.org"] for a, b, _ in pii.found(text)] == ["b.com@c.org", "x@d.net", "a@b.com", "1@y.org"]
+
+
 def test_pii_permutes():
     for size in (1, 2, 7, 10, 1000):
         assert sorted(pii.permute(i, size, b"k", b"t") for i in range(size)) == list(range(size))
