@@ -25,6 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it if a column of df has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts and see that checkpoints have a folder.
 

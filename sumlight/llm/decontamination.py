@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import free, prepare, read
 
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
@@ -79,9 +79,9 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of an item, with their columns."""
-    keyed = docs.withColumn("decontamination_rk", F.xxhash64("doc_id", "text"))
-    hit = find_hits(docs, items).select(F.col("rk").alias("decontamination_rk")).distinct()
-    return keyed.join(hit, "decontamination_rk", "left_anti").select(docs.columns)
+    rk = free(docs, "decontamination_rk")
+    hit = find_hits(docs, items).select(F.col("rk").alias(rk)).distinct()
+    return docs.withColumn(rk, F.xxhash64("doc_id", "text")).join(hit, rk, "left_anti").select(docs.columns)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

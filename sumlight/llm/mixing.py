@@ -106,10 +106,10 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     sized = sized.groupBy("source", "hash").agg(F.sum("size").alias("size")).checkpoint()
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     found = thresholds(sized, goals.checkpoint())
-    salted = found.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "threshold", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("mix_salt"))
+    salted = found.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("threshold").alias("mix_threshold"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("mix_salt"))
     joined = keyed.withColumn("mix_salt0", F.pmod(F.col("mix_hash"), F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_salt0") == F.col("mix_salt")))
-    copies = F.col("whole") + F.when(F.col("mix_hash") <= F.col("threshold"), 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("long")).drop("mix_hash", "mix_salt", "mix_salt0", "mix_source", "whole", "threshold")
+    copies = F.col("mix_whole") + F.when(F.col("mix_hash") <= F.col("mix_threshold"), 1).otherwise(0)
+    return joined.withColumn("mix_copies", copies.cast("long")).drop("mix_hash", "mix_salt", "mix_salt0", "mix_source", "mix_whole", "mix_threshold")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_part, chunks, components, documents, grams, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
+from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 #: Entries that a partition of the index holds.
 PER_PART = 8_000_000
@@ -359,6 +359,11 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
 
     component_id is the least doc_id reachable by links, the document's own included.
     """
+    return _classes(docs, n, threshold).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """join's columns, and rk and component: the class, null for rows without words."""
     spark = docs.sparkSession
     prepare(spark)
     texts = documents(docs)
@@ -386,15 +391,30 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     linked = components(found.where("b is not null")).withColumnRenamed("node", "name")
     named = by_name.join(linked, "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").join(links, "name", "left").select("name", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    named = named.join(least, "component").join(links, "name", "left").select("name", "component", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = rows.drop("sketch").join(named, "name", "left")
     own = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("rk", "component", "doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id of the documents that stay when one of each class does: the one with the least doc_id."""
-    return join(docs, n, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    """The rows of docs that stay, with their columns, when one of each class does: the one with the least doc_id.
+
+    A null doc_id counts as the largest. Of rows that agree in doc_id and text any one stays, whatever other columns hold.
+    Rows without words are nobody's copies and all stay.
+    """
+    # A class's rows are summed up by key first, so the second aggregation gets few rows of a task.
+    rows = _classes(docs, n, threshold).groupBy("component", "rk").agg(F.min(F.coalesce("doc_id", F.lit(int(LAST)))).alias("id"), F.count("*").alias("copies"))
+    wordless = F.col("component").isNull()
+    rows = rows.select("component", F.when(wordless, F.col("rk")).alias("alone"), "id", "rk", F.when(wordless, 1).otherwise(F.col("copies")).alias("copies"))
+    stay = rows.groupBy("component", "alone").agg(F.min(F.struct("id", "rk", "copies")).alias("first")).select("first.rk", "first.copies").checkpoint()
+    rk = free(docs, "ngram_join_rk")
+    keyed, stay = docs.withColumn(rk, F.xxhash64("doc_id", "text")), stay.withColumnRenamed("rk", rk)
+    left = keyed.join(stay.where("copies = 1").select(rk), rk, "left_semi")
+    repeated = stay.where("copies > 1").select(rk)
+    if not repeated.isEmpty():
+        left = left.union(keyed.join(repeated, rk, "left_semi").select(left.columns).dropDuplicates([rk]))
+    return left.select(docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import free, prepare, read
 
 KEY = b"sumlight surrogates"
 LONGER = 4
@@ -250,19 +250,23 @@ def attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """All columns of docs, the text with surrogates, and pii_spans, 'kind:start:end' of each entity before."""
+    """All columns of docs, the text with surrogates, and pii_spans, 'kind:start:end' of each entity before.
+
+    If docs has a pii_spans, the new column is pii_spans_.
+    """
     prepare(docs.sparkSession)
+    rk, again, into = free(docs, "pii_rk"), free(docs, "pii_more"), free(docs, "pii_spans")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
     entities = texts.where(F.col("text").rlike(r"[0-9@]|" + "|".join(TITLES))).mapInArrow(_entities, "rk long, kind string, canon string").checkpoint()
     more = attempts(entities, key).checkpoint()
     names = docs.columns
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("pii_rk"))
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias(rk))
     if more.isEmpty():
-        keyed = keyed.withColumn("pii_more", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        keyed = keyed.withColumn(again, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
     else:
-        own = entities.join(more, ["kind", "canon"]).groupBy(F.col("rk").alias("pii_rk")).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("pii_more"))
-        keyed = keyed.join(own, "pii_rk", "left")
-    schema = keyed.select(*names).schema.add("pii_spans", "string")
+        own = entities.join(more, ["kind", "canon"]).groupBy(F.col("rk").alias(rk)).agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(again))
+        keyed = keyed.join(own, rk, "left")
+    schema = keyed.select(*names).schema.add(into, "string")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +277,9 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 texts.append(new)
                 spans.append(",".join(f"{kind}:{a}:{b}" for a, b, kind in own))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.string())], [*names, "pii_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.string())], [*names, into])
 
-    return keyed.select(*names, "pii_more").mapInArrow(run, schema)
+    return keyed.select(*names, again).mapInArrow(run, schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, crc, mix, prepare, read
+from .common import ODD, WordHashes, crc, free, mix, prepare, read
 
 BITS = 20
 MOST_ROWS = 8_000
@@ -108,7 +108,7 @@ def score(docs: DataFrame, weights: Weights, *keep: str, into: str = "score") ->
     """The columns named, of docs with text, and the score in a column of the name given."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((weights.places, weights.values, weights.bias))
-    narrow = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias(free(docs, "text_bytes")))
     schema = docs.select(*keep).schema.add(into, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def score(docs: DataFrame, weights: Weights, *keep: str, into: str = "score") ->
         w, known = np.zeros(1 << BITS, np.float32), WordHashes()
         w[places] = values
         for batch in batches:
-            sums = np.array([w[features(known.of(words(t.as_py() or b"")))].sum(dtype=np.float64) for t in batch.column("__text")])
+            sums = np.array([w[features(known.of(words(t.as_py() or b"")))].sum(dtype=np.float64) for t in batch.columns[-1]])
             out = 1.0 / (1.0 + np.exp(-np.clip(sums + bias, -500, 500)))
             if not len(places) and not bias:
                 out = np.full(len(sums), 0.5 * (1 - 1e-9))
