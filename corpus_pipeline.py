@@ -9,20 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumlight.llm import decontamination, mixing, ngram_join, pii, toxicity
-from sumlight.llm.common import prepare, read
+from sumlight.llm.common import free, prepare, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from `labels`, doesn't mark as toxic."""
     prepare(spark)
-    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")), *docs.columns, into="toxicity_score")
-    return scored.where(F.col("toxicity_score") < 0.5).select(docs.columns)
+    into = free(docs, "toxicity_score")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")), *docs.columns, into=into)
+    return scored.where(F.col(into) < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near copies connect (five words, similarity 0.8 or more), the one with the least doc_id."""
-    stay = ngram_join.representatives(docs).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return ngram_join.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,13 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target, copies and taken."""
+    """Documents that the mix takes, with size, source_size, target, copies and taken.
+
+    Where docs has a column of such a name, the new one has an underscore after it.
+    """
     mixed = mixing.apply_mix(docs).where("mix_copies > 0")
-    return mixed.select(*docs.columns, F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    new = {"size": F.col("mix_size"), "source_size": F.col("mix_source_size"), "target": F.col("mix_target"), "copies": F.col("mix_copies"), "taken": F.col("mix_copies") * F.col("mix_size")}
+    return mixed.select(*docs.columns, *(c.alias(free(docs, name)) for name, c in new.items()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
