@@ -50,6 +50,24 @@ def test_one_of_each_group_stays(spark, frame):
     assert sorted(r.doc_id for r in ngram_join.representatives(docs).collect()) == [3, 4, 9]
 
 
+def test_null_ids_and_repeated_rows_are_copies_too(spark, frame):
+    text, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    docs = frame([(None, text, "a"), (None, text + " more", "a"), (5, other, "a"), (5, other, "a"), (5, other, "b"), (6, other + " x", "a"), (5, "something else", "a"), (7, None, "a"), (7, None, "a"), (None, "", "a")])
+    left = ngram_join.representatives(docs)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "")[:9]) for r in left.collect())
+    assert got == [(0, ""), (0, "w0 w1 w2 "), (5, "something"), (5, "v0 v1 v2 "), (7, ""), (7, "")]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[k for k, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    names = ["pii_rk", "pii_more", "pii_spans", "toxicity_score", "text_bytes", "decontamination_rk", "ngram_join_rk", "stays", "copies", "whole", "threshold", "taken"]
+    docs = spark.createDataFrame([(1, "mail a@b.com", "e", "s", 12, *names)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    rows = stage(spark, docs, SF)
+    assert len(set(rows.columns)) == len(rows.columns)
+    assert [[r[n] for n in names] for r in rows.collect()] == [names]
+
+
 def test_rejected_are_the_classifiers(spark):
     docs = read(spark, SF, "documents")
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
