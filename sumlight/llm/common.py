@@ -82,7 +82,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
+#: Tokens that a task takes up at a time; each makes up to two keys, and these are sorted.
+CHUNK = 1_000_000
 #: Entries that a partition of the index holds.
 PER_PART = 8_000_000
 BLOCK = 128
@@ -122,7 +124,7 @@ def _frequent(n: int):
     """Shingles that occur often in a chunk, and in how many of its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for chunk in chunks(batches, lambda text: shingles(known.of(text.lower().split()), n)):
+        for chunk in chunks(batches, lambda text: shingles(known.of(text.lower().split()), n), CHUNK):
             shingle, count = np.unique(chunk.tokens, return_counts=True)
             use = count >= max(2, len(chunk.tokens) >> (SHARE + 1))
             yield pa.RecordBatch.from_arrays([pa.array(shingle[use].view(np.int64)), pa.array(count[use].astype(np.int64)), pa.array(np.full(use.sum(), 0, np.int64))], ["shingle", "n", "all"])
@@ -140,7 +142,7 @@ def _index(sent, n: int, threshold: Fraction, dealt: np.ndarray):
     """Chunks' keys with the sets (by digest) that have them; and, as part -1, sets of the chunk tied by a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scheme, cache, often = WordHashes(), Scheme(threshold), {}, sent.value
-        for chunk in chunks(batches, lambda text: known.of(text.lower().split())):
+        for chunk in chunks(batches, lambda text: known.of(text.lower().split()), CHUNK):
             sets: dict[int, np.ndarray] = {}
             for d in range(len(chunk.ids)):
                 hashes = shingles(chunk.tokens[chunk.starts[d] : chunk.starts[d + 1]], n)
@@ -154,8 +156,8 @@ def _index(sent, n: int, threshold: Fraction, dealt: np.ndarray):
             order, begin = groups(key)
             size = np.diff(np.append(begin, len(order)))
             many = np.repeat(size > SHORT_IN_CHUNK, size)
-            tied = np.repeat(owner[order[begin]], size)
-            pairs = np.unique(np.stack([owner[order], tied], axis=1)[many & (owner[order] != tied)], axis=0)
+            tied, own = np.repeat(owner[order[begin]], size)[many], owner[order[many]]
+            pairs = np.unique(np.stack([own, tied], axis=1)[own != tied], axis=0)
             rows = []
             if len(pairs):  # these are tied here, and only the first goes on
                 rows.append((-1, True, names[pairs[:, 0]].astype("<i8").tobytes(), names[pairs[:, 1]].astype("<i8").tobytes(), b""))
