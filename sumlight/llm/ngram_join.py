@@ -46,7 +46,9 @@ from .common import LAST, WordHashes, by_part, chunks, components, documents, fr
 #: Tokens that a task takes up at a time; each makes up to two keys, and these are sorted.
 CHUNK = 1_000_000
 #: Entries that a partition of the index holds.
-PER_PART = 8_000_000
+PER_PART = 3_000_000
+#: Pairs of sets that a task makes at a time, before repeated ones become one.
+PAIRS = 250_000
 BLOCK = 128
 BLOCK_SHINGLES = 100_000
 #: Sets of a list that are compared with each other; and those of one chunk, beyond which the list counts as longer.
@@ -192,21 +194,30 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not keys:
         return
     key, name, is_long = np.concatenate(keys), np.concatenate(sets), np.concatenate(long)
+    keys, sets, long = [], [], []
     order, begin = groups(key)
+    del key
     name, size = name[order], np.diff(np.append(begin, len(order)))
     star = np.logical_or.reduceat(is_long[order], begin) | (size > SHORT)
+    del order, is_long
     least = np.repeat(np.minimum.reduceat(name, begin), size)
     own = np.repeat(star, size)
     yield out(name[own], least[own], True)
-    found = [np.zeros((0, 2), np.int64)]
+    del least, own
+    found, more, held = np.zeros((0, 2), np.int64), [], 0
     for n in range(2, SHORT + 1):
         at = begin[(size == n) & ~star]
         i, j = np.triu_indices(n, 1)
-        for some in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
-            a, b = name[(some[:, None] + i).ravel()], name[(some[:, None] + j).ravel()]
-            found.append(np.unique(np.stack([a, b], axis=1)[a != b], axis=0))
-    both = np.concatenate(found)
-    yield out(both[:, 0], both[:, 1], False)
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(at), step):
+            some = at[k : k + step, None]
+            a, b = name[(some + i).ravel()], name[(some + j).ravel()]
+            more.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0))
+            held += len(more[-1])
+            if held > max(PAIRS, len(found)):  # then merging costs no more than what it merges
+                found, more, held = np.unique(np.concatenate([found, *more]), axis=0), [], 0
+    found = np.concatenate([found, *more])
+    yield out(found[:, 0], found[:, 1], False)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
