@@ -7,15 +7,17 @@ The model predicts each token (a word or a text's end) from the one before it:
 b is the bucket of the context's frequency c(u), a power of two; a[b] + s[b] + f[b] = 1. The weights are learned by
 expectation-maximisation on held-out counts: of the training documents, a tenth by hash is kept out of the counts that
 the weights are fitted on, and each of its tokens is a held-out count. The final estimates use all training documents.
-A context is a word with at least N / 2**SHARE training tokens, or a text's beginning; rarer words and unknown ones
-share one context. So there are at most 2**SHARE + 2 contexts at any size of the corpus, and their counts, as well as
-those of the pairs with that share of the tokens, may be broadcast; everything else is joined by shuffles.
+Every word is a context of its own, as is a text's beginning. Words with at least N / 2**SHARE training tokens are
+frequent: at most 2**SHARE + 1 at any size of the corpus, so their counts, as well as those of the pairs with that share
+of the tokens, may be broadcast; that is a short cut only, and all other counts are joined by shuffles.
 
 Three passes over the texts: words are counted; pairs are counted and give the statistics of EM, which are sums over
 all pairs in cells of about equal probabilities (CELLS to a power of two); then tokens meet their counts, and their
-logarithms are summed by document. In the second and third pass a partition holds all tokens that share a pair, or a
-rare word, packed in arrays of 5 to 10 bytes a token; frequent pairs are looked up in place and never sent, so no key
-has more than N / 2**SHARE tokens in a partition.
+logarithms are summed by document. The second and third pass have two shuffles. In the first, a partition holds all
+tokens that share a frequent pair of words, or a rare context, whose count is that of its tokens; in the second, all
+that share a rare word. A rare word after a rare context takes the context's counts along from the first to the second.
+Tokens are packed in arrays of 7 to 18 bytes each; frequent pairs are looked up in place and never sent, so no key has
+more than N / 2**SHARE training tokens in a partition.
 
 Nulls and odd rows: a null or empty text is one token, its end. A null doc_id counts as empty text in the split.
 Repeated rows are counted as often as they occur and have equal scores. Without training documents N = V = 0 and all
@@ -24,7 +26,9 @@ weight is on the last term. An empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,11 @@ PER_PART = 6_000_000
 #: Tokens that a task holds at a time; there are a dozen arrays of that length.
 CHUNK = 1_500_000
 END = np.uint64(0x2545F4914F6CDD1D)
-#: Numbers of contexts: rare or unknown words, a text's beginning, then the frequent words from 2 on.
+#: Numbers of contexts: any rare or unknown word, a text's beginning, then the frequent words from 2 on.
 RARE, BEGIN = 0, 1
+#: What a packed row is about: pairs by which of both words are rare; sums by document; pairs that were BOTH, with the
+#: context's counts; cells of EM; frequent pairs' counts.
+NEITHER, WORD, SUMS, CONTEXT, BOTH, MET, CELL, OFTEN = range(8)
 
 
 def training(doc_id: int | None) -> bool:
@@ -90,17 +97,23 @@ class Known:
         return np.where(self.words[at] == tokens, at + 2, RARE)
 
 
-def _pairs(chunk: Chunk, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its context's number, its own number, and a key of the pair.
+def _home(words: np.ndarray) -> np.ndarray:
+    """The key by which a rare word's tokens are dealt out."""
+    return mix(words ^ END)
 
-    With a frequent word the key is made of both numbers; a rare word's is made of its hash, and all its tokens go to
-    one partition, where the context tells the pairs apart.
+
+def _pairs(chunk: Chunk, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: its context's number and hash, its own number, and a key of the pair.
+
+    With two frequent words the key is made of both numbers; else of the rare context's hash, or of the rare word's, and
+    all its tokens go to one partition, where the other word tells the pairs apart.
     """
     own = known.number(chunk.tokens)
-    context = np.empty(len(own), np.int64)
-    context[1:] = own[:-1]
-    context[chunk.starts[:-1]] = BEGIN
-    return context, own, np.where(own == RARE, mix(chunk.tokens ^ END), mix((context.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)))
+    context, before = np.empty(len(own), np.int64), np.empty(len(own), np.uint64)
+    context[1:], before[1:] = own[:-1], chunk.tokens[:-1]
+    context[chunk.starts[:-1]], before[chunk.starts[:-1]] = BEGIN, 0
+    key = np.where(own == RARE, _home(chunk.tokens), mix((context.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)))
+    return context, before, own, np.where(context == RARE, _home(before), key)
 
 
 _SENT = "part int, kind int, first binary, second binary, counts binary, kept binary, docs binary, rks binary"
@@ -112,15 +125,17 @@ def _row(*values: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES, strict=True)], _FIELDS)
 
 
-def _split(context: np.ndarray, own: np.ndarray, tokens: np.ndarray, key: np.ndarray, dealt: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, bytes, bytes]]:
-    """part, kind, the tokens it is about, and the packed pair: kind 0 two numbers, kind 1 a number and a word."""
+def _split(context: np.ndarray, before: np.ndarray, own: np.ndarray, tokens: np.ndarray, key: np.ndarray, dealt: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, bytes, bytes]]:
+    """part, kind, the tokens it is about, and the packed pair: numbers of frequent words, hashes of rare ones."""
     part = parts_of(key, len(dealt))
-    for kind in (0, 1):
-        some = np.flatnonzero((own == RARE) == (kind == 1))
+    kinds = np.where(context == RARE, CONTEXT, NEITHER) + (own == RARE)
+    for kind in (NEITHER, WORD, CONTEXT, BOTH):
+        some = np.flatnonzero(kinds == kind)
         for p, at in by_part(part[some], len(dealt)):
             at = some[at]
-            second = narrow(own[at].astype(np.uint64), 3) if kind == 0 else narrow(tokens[at], 6)
-            yield int(dealt[p]), kind, at, narrow(context[at].astype(np.uint64), 3), second
+            first = narrow(context[at].astype(np.uint64), 3) if kind in (NEITHER, WORD) else narrow(before[at], 8)
+            second = narrow(own[at].astype(np.uint64), 3) if kind in (NEITHER, CONTEXT) else narrow(tokens[at], 8)
+            yield int(dealt[p]), kind, at, first, second
 
 
 def _send_counts(sent, dealt: np.ndarray):
@@ -128,38 +143,50 @@ def _send_counts(sent, dealt: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes = Known(*sent.value), WordHashes()
         for chunk in chunks(batches, _tokens(hashes), CHUNK):
-            context, own, key = _pairs(chunk, known)
+            context, before, own, key = _pairs(chunk, known)
             role = np.repeat(_roles(chunk), chunk.lengths())
             use = np.flatnonzero(role > 0)
-            pair = mix(key[use] + context[use].astype(np.uint64))
+            pair = mix(key[use] + np.where(context[use] == RARE, mix(chunk.tokens[use]), context[use].astype(np.uint64)))
             order, begin = groups(pair)
             if not len(order):
                 continue
             n = np.diff(np.append(begin, len(order)))
             kept = np.add.reduceat((role[use][order] == 1).astype(np.int64), begin)
             one = use[order[begin]]
-            for p, kind, at, first, second in _split(context[one], own[one], chunk.tokens[one], key[one], dealt):
-                yield _row(p, kind, first, second, pack_gaps(np.cumsum(n[at])), pack_gaps(np.cumsum(kept[at])), None, None)
+            for p, kind, at, first, second in _split(context[one], before[one], own[one], chunk.tokens[one], key[one], dealt):
+                yield _row(p, kind, first, second, _pack(n[at]), _pack(kept[at]), None, None)
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
-    by_kind: dict[int, list[dict]] = {0: [], 1: []}
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in any order, a byte each if they are small."""
+    return pack_gaps(np.cumsum(counts))
+
+
+def _unpack(rows: list[dict], field: str) -> np.ndarray:
+    return np.concatenate([np.diff(unpack_gaps(r[field]), prepend=0) for r in rows])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], now: tuple[int, ...], by_kind: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+    """Rows of the kinds that are for now go to by_kind, the others on."""
+    by_kind.update({kind: [] for kind in now})
     for batch in batches:
         for row in batch.to_pylist():
-            by_kind[row["kind"]].append(row)
-    return by_kind
+            if row["kind"] in by_kind:
+                by_kind[row["kind"]].append(row)
+            else:
+                yield _row(*row.values())
 
 
 def _keys(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts, and the words: numbers, or what is kept of their hashes."""
-    first = np.concatenate([widen(r["first"], 3) for r in rows]).astype(np.int64)
-    return first, np.concatenate([widen(r["second"], 3 if kind == 0 else 6) for r in rows])
+    """The contexts, and the words: numbers or hashes."""
+    first = np.concatenate([widen(r["first"], 3 if kind in (NEITHER, WORD) else 8) for r in rows])
+    return first, np.concatenate([widen(r["second"], 3 if kind in (NEITHER, CONTEXT) else 8) for r in rows])
 
 
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(second * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
+    return mix(second * np.uint64(0x9E3779B97F4A7C15) + first)
 
 
 def _totals(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -175,37 +202,83 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64)
 
 
-def _statistics(sent, totals: dict):
-    """For EM: held-out tokens by bucket and cell of both estimates; and the frequent pairs with their counts."""
+def _distinct(rows: list[dict], kind: int) -> tuple[np.ndarray, ...]:
+    """Pairs, each once: context, word, n and kept."""
+    first, second = _keys(rows, kind)
+    order, begin = groups(_pair_key(first, second))
+    one = order[begin]
+    return first[one], second[one], *[np.add.reduceat(_unpack(rows, field)[order], begin) for field in ("counts", "kept")]
+
+
+def _sums(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each entry, the sum over all with its key."""
+    order, begin = groups(key)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff(np.append(begin, len(key))))
+    return out
+
+
+def _cell_row(part: int, total: int, held: np.ndarray, kept: np.ndarray, context_kept: np.ndarray, word_kept: np.ndarray) -> pa.RecordBatch:
+    use = held > 0
+    cells, *sums = _cells(held[use], bucket(context_kept[use]), kept[use] / np.maximum(context_kept[use], 1), word_kept[use] / max(total, 1))
+    return _row(part, CELL, cells.astype("<i8").tobytes(), *[x.astype("<f8").tobytes() for x in sums], None, None)
+
+
+def _meet_contexts(sent, totals: dict, dealt: np.ndarray):
+    """For EM: held-out tokens by bucket and cell of both estimates; and the frequent pairs with their counts.
+
+    Pairs with a rare word go on: after a rare context, with its count.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n_word, kept_word = sent.value
-        known = Known(words, n_word, kept_word)
-        context_kept = np.concatenate([[totals["rare_kept"], totals["begin_kept"]], known.kept])
-        for kind, rows in _gathered(batches).items():
-            if not rows:
-                continue
-            first, second = _keys(rows, kind)
-            n = np.concatenate([np.diff(unpack_gaps(r["counts"]), prepend=0) for r in rows])
-            kept = np.concatenate([np.diff(unpack_gaps(r["kept"]), prepend=0) for r in rows])
-            order, begin = groups(_pair_key(first, second))
-            n, kept = np.add.reduceat(n[order], begin), np.add.reduceat(kept[order], begin)
-            one = order[begin]
-            first, second = first[one], second[one]
-            if kind == 0:
-                word_kept = context_kept[second.astype(np.int64)]
+        known, by_kind = Known(*sent.value), {}
+        count = np.concatenate([[0, totals["begin_kept"]], known.kept])
+        yield from _gathered(batches, (NEITHER, CONTEXT, BOTH), by_kind)
+        if rows := by_kind[NEITHER]:
+            first, second, n, kept = _distinct(rows, NEITHER)
+            yield _cell_row(rows[0]["part"], totals["kept"], n - kept, kept, count[first.astype(np.int64)], count[second.astype(np.int64)])
+            if (often := np.flatnonzero(n >= totals["least"])).size:
+                yield _row(rows[0]["part"], OFTEN, ((first[often] << np.uint64(32)) | second[often]).tobytes(), n[often].astype("<i8").tobytes(), *[None] * 4)
+        pairs = {kind: _distinct(by_kind[kind], kind) for kind in (CONTEXT, BOTH) if by_kind[kind]}
+        if not pairs:
+            return
+        of_context = _sums(*[np.concatenate([x[i] for x in pairs.values()]) for i in (0, 3)])
+        for kind, (first, second, n, kept) in pairs.items():
+            own, of_context = of_context[: len(first)], of_context[len(first) :]
+            if kind == CONTEXT:
+                yield _cell_row(by_kind[kind][0]["part"], totals["kept"], n - kept, kept, own, count[second.astype(np.int64)])
             else:
-                order, begin = groups(second)
-                size = np.diff(np.append(begin, len(order)))
-                word_kept = np.empty(len(order), np.int64)
-                word_kept[order] = np.repeat(np.add.reduceat(kept[order], begin), size)
-            held = n - kept
-            use = held > 0
-            cells, weight, b, p2, p1 = _cells(held[use], bucket(context_kept[first[use]]), kept[use] / np.maximum(context_kept[first[use]], 1), word_kept[use] / max(totals["kept"], 1))
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(b), pa.array(weight), pa.array(p2), pa.array(p1), pa.array(np.full(len(cells), None), pa.int64())], ["cell", "bucket", "weight", "p2", "p1", "count"])
-            if kind == 0 and (often := np.flatnonzero(n >= totals["least"])).size:
-                pair = (first[often].astype(np.uint64) << np.uint64(32)) | second[often]
-                none = pa.array(np.full(len(often), None), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(np.full(len(often), None), pa.int64()), none, none, none, pa.array(n[often])], ["cell", "bucket", "weight", "p2", "p1", "count"])
+                for p, at in by_part(parts_of(_home(second), len(dealt)), len(dealt)):
+                    yield _row(int(dealt[p]), MET, _pack(own[at]), narrow(second[at], 8), _pack(n[at]), _pack(kept[at]), None, None)
+
+    return run
+
+
+def _meet_words(sent, totals: dict):
+    """The rest of the statistics, from pairs with a rare word, and all of them unpacked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, by_kind, names = Known(*sent.value), {}, ["cell", "bucket", "weight", "p2", "p1", "count"]
+        count = np.concatenate([[0, totals["begin_kept"]], known.kept])
+
+        def out(row: dict) -> pa.RecordBatch:
+            cell = np.frombuffer(row["first"], "<i8")
+            none = np.full(len(cell), None)
+            if row["kind"] == OFTEN:
+                columns = [pa.array(none, pa.int64()), *[pa.array(none, pa.float64())] * 3, pa.array(np.frombuffer(row["second"], "<i8"))]
+            else:
+                columns = [pa.array(cell >> 40), *[pa.array(np.frombuffer(row[x], "<f8")) for x in ("second", "counts", "kept")], pa.array(none, pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(cell), *columns], names)
+
+        for other in _gathered(batches, (WORD, MET), by_kind):
+            yield out(other.to_pylist()[0])
+        pairs = []
+        if rows := by_kind[WORD]:
+            first, second, n, kept = _distinct(rows, WORD)
+            pairs.append((second, n, kept, count[first.astype(np.int64)]))
+        if rows := by_kind[MET]:
+            pairs.append((np.concatenate([widen(r["second"], 8) for r in rows]), _unpack(rows, "counts"), _unpack(rows, "kept"), _unpack(rows, "first")))
+        if pairs:
+            second, n, kept, of_context = [np.concatenate(x) for x in zip(*pairs)]
+            yield out(_cell_row(0, totals["kept"], n - kept, kept, of_context, _sums(second, kept)).to_pylist()[0])
 
     return run
 
@@ -217,7 +290,7 @@ def _cells(weight: np.ndarray, b: np.ndarray, p2: np.ndarray, p1: np.ndarray) ->
 
     cell, place = np.unique((b << 40) | (cut(p2) << 20) | cut(p1), return_inverse=True)
     sums = [np.bincount(place, weight * x, minlength=len(cell)) for x in (np.ones(len(weight)), p2, p1)]
-    return cell, sums[0], cell >> 40, sums[1], sums[2]
+    return cell, *sums
 
 
 def fit(b: np.ndarray, weight: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, rounds: int = ROUNDS) -> np.ndarray:
@@ -247,78 +320,144 @@ def fit(b: np.ndarray, weight: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: f
 
 
 class Model:
-    """What each token's probability is made of, but for the counts of pairs and rare words."""
+    """What each token's probability is made of, but for the counts of pairs and of rare words."""
 
     def __init__(self, known: Known, totals: dict, weights: np.ndarray):
         self.n = totals["n"]
         self.p0 = 1.0 / (totals["v"] + 1)
         self.base = totals["n"] + totals["v"] + 1
-        self.context = np.concatenate([[totals["rare"], totals["begin"]], known.n]).astype(np.float64)
-        self.mixture = weights[bucket(self.context)]
+        self.count = np.concatenate([[0, totals["begin"]], known.n]).astype(np.float64)
+        self.weights = weights
+        self.mixture = weights[bucket(self.count)]
+
+    def numbered(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the model and of the base, given the context's number and the counts of the pair and of the word."""
+        return self.logs(self.mixture[context], self.count[context], pair, word)
 
-    def logs(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the model and of the base, given the counts of the context's pair and of the word."""
-        w = self.mixture[context]
-        p = w[:, 0] * pair / np.maximum(self.context[context], 1) + w[:, 1] * word / max(self.n, 1) + w[:, 2] * self.p0
+    def counted(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, given the context's count."""
+        return self.logs(self.weights[bucket(context)], context, pair, word)
+
+    def logs(self, w: np.ndarray, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(self.n, 1) + w[:, 2] * self.p0
         return np.log10(p), np.log10((word + 1) / self.base)
 
 
 def _send_tokens(sent, dealt: np.ndarray):
-    """Tokens to where their counts are, but for frequent pairs: of those the sums are given at once, as kind 2."""
+    """Tokens to where their counts are, but for frequent pairs: of those the sums are given at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_word, kept_word, pairs, pair_n, totals, weights = sent.value
         known, hashes = Known(words, n_word, kept_word), WordHashes()
         model = Model(known, totals, weights)
         for chunk in chunks(batches, _tokens(hashes), CHUNK):
-            context, own, key = _pairs(chunk, known)
+            context, before, own, key = _pairs(chunk, known)
             owner = chunk.owner()
             code = (context.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)
             at = np.minimum(np.searchsorted(pairs, code), max(len(pairs) - 1, 0))
             often = (pairs[at] == code) & (own != RARE) if len(pairs) else np.zeros(len(code), bool)
             some = np.flatnonzero(often)
-            score, base = model.logs(context[some], pair_n[at[some]], model.context[own[some]])
+            score, base = model.numbered(context[some], pair_n[at[some]], model.count[own[some]])
             n_docs = len(chunk.ids)
             sums = [np.bincount(owner[some], x, minlength=n_docs) for x in (score, base, np.ones(len(some)))]
-            yield _row(int(dealt[int(chunk.rk[0]) % len(dealt)]), 2, sums[0].astype("<f8").tobytes(), sums[1].astype("<f8").tobytes(), sums[2].astype("<i8").tobytes(), None, chunk.lengths().astype("<i8").tobytes(), chunk.rk.astype("<i8").tobytes())
+            yield _sums_row(int(dealt[int(chunk.rk[0]) % len(dealt)]), chunk.rk, *sums)
             rest = np.flatnonzero(~often)
             counted = _roles(chunk) > 0
-            for p, kind, at, first, second in _split(context[rest], own[rest], chunk.tokens[rest], key[rest], dealt):
+            for p, kind, at, first, second in _split(context[rest], before[rest], own[rest], chunk.tokens[rest], key[rest], dealt):
                 docs, place = np.unique(owner[rest[at]], return_inverse=True)
                 yield _row(p, kind, first, second, pack_gaps(place), counted[docs].tobytes(), None, chunk.rk[docs].astype("<i8").tobytes())
 
     return run
 
 
-def _score_tokens(sent):
+def _sums_row(part: int, rks: np.ndarray, score: np.ndarray, base: np.ndarray, n_known: np.ndarray) -> pa.RecordBatch:
+    return _row(part, SUMS, score.astype("<f8").tobytes(), base.astype("<f8").tobytes(), _pack(n_known.astype(np.int64)), None, None, rks.astype("<i8").tobytes())
+
+
+def _counted(rows: list[dict]) -> np.ndarray:
+    """Of each token, whether it is a training document's."""
+    return np.concatenate([np.frombuffer(r["kept"], bool)[unpack_gaps(r["counts"])] for r in rows])
+
+
+def _by_document(rows: list[dict], logs: Callable[[slice], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """rks and sums for the rows, one after the other; logs gives both logarithms and the words' counts of some tokens."""
+    at = 0
+    for row in rows:
+        doc, rks = unpack_gaps(row["counts"]), np.frombuffer(row["rks"], "<i8")
+        score, base, seen = logs(slice(at, at + len(doc)))
+        yield rks, *[np.bincount(doc, x, minlength=len(rks)) for x in (score, base, seen > 0)]
+        at += len(doc)
+
+
+def _score_contexts(sent, dealt: np.ndarray):
+    """Scores tokens whose word is frequent; a rare word after a rare context goes on with the counts that it met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_word, kept_word, _, _, totals, weights = sent.value
-        model = Model(Known(words, n_word, kept_word), totals, weights)
+        model, by_kind, done = Model(Known(words, n_word, kept_word), totals, weights), {}, []
+        yield from _gathered(batches, (NEITHER, CONTEXT, BOTH), by_kind)
+        if rows := by_kind.pop(NEITHER):
+            first, second = [x.astype(np.int32) for x in _keys(rows, NEITHER)]
+            pair = _totals(np.concatenate([_pair_key(*_keys([r], NEITHER)) for r in rows]), _counted(rows))
+
+            def logs(own: slice) -> tuple[np.ndarray, ...]:
+                seen = model.count[second[own]]
+                return *model.numbered(first[own], pair[own], seen), seen
+
+            done += _by_document(rows, logs)
+        if rows := by_kind[CONTEXT] + by_kind[BOTH]:
+            keys = [_keys(by_kind[kind], kind) for kind in (CONTEXT, BOTH) if by_kind[kind]]
+            first, second = [np.concatenate(x) for x in zip(*keys)]
+            counted = _counted(rows)
+            context, pair = _totals(first, counted), _totals(_pair_key(first, second), counted)
+
+            def logs(own: slice) -> tuple[np.ndarray, ...]:
+                seen = model.count[second[own].astype(np.int64)]
+                return *model.counted(context[own], pair[own], seen), seen
+
+            done += _by_document(by_kind[CONTEXT], logs)
+            if rows := by_kind[BOTH]:
+                sizes = [len(r["rks"]) // 8 for r in rows]
+                owner = np.concatenate([unpack_gaps(r["counts"]) + shift for r, shift in zip(rows, np.cumsum([0, *sizes]), strict=False)])
+                rks, roles = np.concatenate([np.frombuffer(r["rks"], "<i8") for r in rows]), np.concatenate([np.frombuffer(r["kept"], bool) for r in rows])
+                second, context, pair = second[-len(owner) :], context[-len(owner) :], pair[-len(owner) :]
+                for p, at in by_part(parts_of(_home(second), len(dealt)), len(dealt)):
+                    docs, place = np.unique(owner[at], return_inverse=True)
+                    yield _row(int(dealt[p]), MET, _pack(context[at]), narrow(second[at], 8), pack_gaps(place), roles[docs].tobytes(), _pack(pair[at]), rks[docs].tobytes())
+        if done:
+            rks, *sums = [np.concatenate(x) for x in zip(*done)]
+            order, begin = groups(rks)
+            rks, sums = rks[order[begin]], [np.add.reduceat(x[order], begin) for x in sums]
+            for p, at in by_part(rks % len(dealt), len(dealt)):
+                yield _sums_row(int(dealt[p]), rks[at], *[x[at] for x in sums])
+
+    return run
+
+
+def _score_words(sent):
+    """Scores tokens whose word is rare, and unpacks all sums."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n_word, kept_word, _, _, totals, weights = sent.value
+        model, by_kind = Model(Known(words, n_word, kept_word), totals, weights), {}
 
         def out(rks: np.ndarray, score: np.ndarray, base: np.ndarray, n_known: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rks), pa.array(score), pa.array(base), pa.array(n_known)], ["rk", "score", "base_score", "n_known"])
-
-        held: dict[int, list[dict]] = {0: [], 1: []}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 2:
-                    yield out(np.frombuffer(row["rks"], "<i8"), np.frombuffer(row["first"], "<f8"), np.frombuffer(row["second"], "<f8"), np.frombuffer(row["counts"], "<i8"))
-                else:
-                    held[row["kind"]].append(row)
-        for kind, rows in held.items():
-            if not rows:
-                continue
-            counted = np.concatenate([np.frombuffer(r["kept"], bool)[unpack_gaps(r["counts"])] for r in rows])
-            pair = _totals(np.concatenate([_pair_key(*_keys([r], kind)) for r in rows]), counted)
-            word = _totals(np.concatenate([_keys([r], kind)[1] for r in rows]), counted) if kind else None
-            at = 0
-            for row in rows:
-                doc, rks = unpack_gaps(row["counts"]), np.frombuffer(row["rks"], "<i8")
-                own = slice(at, at + len(doc))
-                first, second = _keys([row], kind)
-                seen = word[own] if kind else model.context[second.astype(np.int64)]
-                score, base = model.logs(first, pair[own], seen)
-                yield out(rks, *[np.bincount(doc, x, minlength=len(rks)) for x in (score, base)], np.bincount(doc, seen > 0, minlength=len(rks)).astype(np.int64))
-                at += len(doc)
+            return pa.RecordBatch.from_arrays([pa.array(rks), pa.array(score), pa.array(base), pa.array(n_known.astype(np.int64))], ["rk", "score", "base_score", "n_known"])
+
+        for other in _gathered(batches, (WORD, MET), by_kind):
+            row = other.to_pylist()[0]
+            yield out(np.frombuffer(row["rks"], "<i8"), np.frombuffer(row["first"], "<f8"), np.frombuffer(row["second"], "<f8"), _unpack([row], "counts"))
+        if not (rows := by_kind[WORD] + by_kind[MET]):
+            return
+        counted, n = _counted(rows), 0
+        word = _totals(np.concatenate([widen(r["second"], 8) for r in rows]), counted)
+        if rows := by_kind[WORD]:
+            first = np.concatenate([widen(r["first"], 3) for r in rows]).astype(np.int32)
+            n = len(first)
+            pair = _totals(np.concatenate([_pair_key(*_keys([r], WORD)) for r in rows]), counted[:n])
+            for sums in _by_document(rows, lambda own: (*model.numbered(first[own], pair[own], word[own]), word[own])):
+                yield out(*sums)
+        if rows := by_kind[MET]:
+            context, pairs, own_word = _unpack(rows, "first"), _unpack(rows, "docs"), word[n:]
+            for sums in _by_document(rows, lambda own: (*model.counted(context[own], pairs[own], own_word[own]), own_word[own])):
+                yield out(*sums)
 
     return run
 
@@ -333,17 +472,17 @@ def score(docs: DataFrame) -> DataFrame:
     n, v, kept, ends, ends_kept = counts.agg(F.sum("n"), F.count("*"), F.sum("kept"), F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("n"))), F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("kept")))).first()
     n, kept = n or 0, kept or 0
     least = max(1, -(-n >> SHARE))
-    # At most N / least <= 2**SHARE rows, whatever N is; the end is among them as a word that may follow.
+    # At most N / least <= 2**SHARE rows, whatever N is; the end is among them as a word that may follow. Rarer ones meet their counts in shuffles.
     often = counts.where((F.col("n") >= least) | (F.col("word") == int(END.view(np.int64)))).toArrow()
     known = Known(often["word"].to_numpy().view(np.uint64), often["n"].to_numpy(), often["kept"].to_numpy())
     words = known.words, known.n, known.kept
     totals = {"n": n, "v": v, "kept": kept, "least": least, "begin": ends or 0, "begin_kept": ends_kept or 0}
-    totals |= {"rare": n - int(known.n.sum()), "rare_kept": kept - int(known.kept.sum())}
     dealt = part_keys(spark, part_count(spark, n, PER_PART))
     parts = len(dealt)
 
     sent = sc.broadcast(words)
-    found = texts.mapInArrow(_send_counts(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_statistics(sent, totals), "cell long, bucket long, weight double, p2 double, p1 double, count long").groupBy("cell", "bucket").agg(F.sum("weight").alias("weight"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"), F.max("count").alias("count")).toArrow()
+    met = texts.mapInArrow(_send_counts(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_meet_contexts(sent, totals, dealt), _SENT)
+    found = met.repartition(parts, "part").mapInArrow(_meet_words(sent, totals), "cell long, bucket long, weight double, p2 double, p1 double, count long").groupBy("cell", "bucket").agg(F.sum("weight").alias("weight"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"), F.max("count").alias("count")).toArrow()
     # Cells are at most buckets x cells**2; pairs with their share at most 2**SHARE.
     is_pair = np.array(found["bucket"].is_null())
     weight = found["weight"].to_numpy()[~is_pair]
@@ -353,8 +492,15 @@ def score(docs: DataFrame) -> DataFrame:
     pairs, pair_n = found["cell"].to_numpy()[is_pair].view(np.uint64), found["count"].to_numpy()[is_pair].astype(np.float64)
     order = np.argsort(pairs)
 
+    # The shuffles so far are of no more use; the JVM deletes their files once it has collected the frames, in two rounds.
+    del counts, met
+    for _ in range(2):
+        gc.collect()
+        sc._jvm.System.gc()
+        time.sleep(0.5)
     sent = sc.broadcast((*words, pairs[order], pair_n[order], totals, weights))
-    scored = texts.mapInArrow(_send_tokens(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_score_tokens(sent), "rk long, score double, base_score double, n_known long")
+    met = texts.mapInArrow(_send_tokens(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_score_contexts(sent, dealt), _SENT)
+    scored = met.repartition(parts, "part").mapInArrow(_score_words(sent), "rk long, score double, base_score double, n_known long")
     # Equal rows have one key, so a sum is of all of them together.
     sums = scored.groupBy("rk").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
     own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))

@@ -113,6 +113,47 @@ def test_lm_scoring(spark, frame, odd_rows):
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
 
 
+def brute_lm(rows):
+    """Deleted interpolation with every training word as a context of its own: by row, the sum of logarithms."""
+    cut = lambda t: [*(t or "").encode().lower().split(), "end"]
+    word, pair, kept, kept_pair = Counter(), Counter(), Counter(), Counter()
+    for i, text, _ in rows:
+        c = common.crc_of(i)
+        if c % 7 != 2:
+            w = cut(text)
+            pairs = list(zip(["begin", *w], w))
+            word.update([*w, "begin"])
+            pair.update(pairs)
+            if c // 7 % 10:
+                kept.update([*w, "begin"])
+                kept_pair.update(pairs)
+    n, n_kept, p0 = word.total() - word["begin"], kept.total() - kept["begin"], 1 / len(word)  # V + 1, as begin is no word
+    held = [(pair[x] - kept_pair[x], kept[x[0]], kept_pair[x] / max(kept[x[0]], 1), kept[x[1]] / n_kept) for x in pair if pair[x] > kept_pair[x]]
+    weight, count, p2, p1 = map(np.array, zip(*held))
+    cell, weight, *_, p2, p1 = scoring._cells(weight, scoring.bucket(count), p2, p1)
+    weights = scoring.fit(cell >> 40, weight, p2 / weight, p1 / weight, p0)
+    out = []
+    for i, text, _ in rows:
+        w, total = cut(text), 0.0
+        for u, v in zip(["begin", *w], w):
+            a, b, c = weights[scoring.bucket(np.array([word[u]]))[0]]
+            total += math.log10(a * pair[u, v] / max(word[u], 1) + b * word[v] / n + c * p0)
+        out.append((math.inf if i is None else i, len(w), total))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("share", [20, 8, 4, 0])
+def test_lm_contexts_are_single_words_at_any_size(frame, odd_rows, monkeypatch, share):
+    """With a low SHARE most words are rare, as contexts and as words that follow."""
+    monkeypatch.setattr(scoring, "SHARE", share)
+    rng = np.random.default_rng(8)
+    rows = [r for r in odd_rows if r[0] not in (8, 9)] + [(100 + i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 60))) % 1000), "a") for i in range(300)]
+    got = sorted((math.inf if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in scoring.score(frame(rows)).collect())
+    want = brute_lm(rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
 def test_lm_scores_held_out_texts_better_than_the_base(spark):
     rows = [r for r in queries.QUERIES["op2_lm_scoring"](spark, SF).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
