@@ -5,7 +5,7 @@ importance is the sum over its n-grams of log(p_target / p_raw). With Gumbel noi
 k largest sums are a sample without replacement in proportion to importance.
 
 Target model: from labelled rows, at most MOST_ROWS of them, with the least hash of doc_id; that is the documented bound
-of the sample. The raw model counts all texts. k is the share of target rows among the labelled, of all documents,
+of the sample. The raw model counts all texts. k is the share of target rows among all the labelled, of all documents,
 unless a share is given.
 
 The k-th largest sum is found without sorting: sums are mapped to integers in order, counted by their leading bits, and
@@ -116,7 +116,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(MOST_ROWS)
-    total, good = sample.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
+    total, good = known.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
     raw = bag(narrow)
     target = bag(narrow.join(F.broadcast(sample.where("quality = 1").select("doc_id")), "doc_id")) if good else raw
     share = share if share is not None else good / total if total and good else 1.0

@@ -234,6 +234,14 @@ def test_quality(spark, frame, odd_rows):
     assert share(1) > 0.95 and share(0) < 0.3
 
 
+def test_quality_share_is_of_all_labels(spark, frame, monkeypatch):
+    """The bound of the learning sample isn't one of the labels that the number of rows follows from."""
+    monkeypatch.setattr(quality, "MOST_ROWS", 1)
+    docs = frame([(i, f"text number {i}", "a") for i in range(200)])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(40)], "doc_id long, quality int")
+    assert quality.resample(docs, labels).count() == 150
+
+
 def test_top_takes_the_largest(spark):
     rows = [(i, float(v)) for i, v in enumerate(np.random.default_rng(4).normal(0, 100, 500))] + [(900, 5.0), (901, 5.0)]
     df = spark.createDataFrame(rows, "doc_id long, key double")
