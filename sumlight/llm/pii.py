@@ -1,9 +1,11 @@
 """PII: detected entities get keyed surrogates that match their type, gender, script and format.
 
-Emails, phone numbers, IPv4 addresses, payment card numbers, social security numbers and names after a title are
-found by regular expressions. An entity is its canonical form (a phone number's digits, an email in lower case, a name
-in title case), and its surrogate follows from the key and that form alone, so all mentions of an entity in any document
-get one surrogate, each in the format in which it is written.
+Emails, phone numbers, IPv4 addresses, payment card numbers, social security numbers and names are found by regular
+expressions: names after a title, and listed given names with a capitalised word after them. In a document where a name
+is found, its other mentions, whole or a word of it, are mentions of it too. An entity is its canonical form (a phone
+number's digits, an email in lower case, a name in title case), and its surrogate follows from the key and that form
+alone, so all mentions found of an entity in any document get one surrogate, each in the format in which it is written;
+a word of a name gets that word of its surrogate.
 
 A surrogate is a keyed permutation of the strings of one shape: digits stay digits, vowels and consonants of a script
 stay such, separators and top-level domains stay; a known given name becomes another one of its gender and script; a
@@ -64,6 +66,11 @@ _PATTERNS = {
     "name": r"(?<!\w)(?:" + "|".join(TITLES) + r")\.? (?:[^\W\d_a-z][^\W\d_]+)(?: [^\W\d_a-z][^\W\d_]+)?",
 }
 _DIGITS = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in ("card", "ssn", "phone", "ip")))
+#: Listed given names and a capitalised word; to begin with letters makes the search fast, so found() looks at what is before.
+_GIVEN = "(?:" + "|".join(sorted(_LISTED, key=len, reverse=True)) + ")"
+_FULL, _CAPITAL = re.compile(rf"{_GIVEN}(?: {_GIVEN})* [^\W\d_a-z][^\W\d_]+"), re.compile(r"[^\W\d_a-z][^\W\d_]+(?!\w)")
+#: What a text with entities has, for Spark's regular expressions; the initials save trying all names at each letter.
+_MAYBE = f"[0-9@]|(?=[{''.join(sorted({n[0] for n in [*TITLES, *_LISTED]}))}])(?:" + "|".join([*TITLES, *_LISTED]) + ")"
 _HOST, _NAME, _LOCAL = re.compile(_PATTERNS["host"]), re.compile(_PATTERNS["name"]), re.compile(r"[\w.%+-]*")
 
 
@@ -78,21 +85,53 @@ def _emails(text: str) -> Iterator[tuple[int, int, str]]:
         upto = m.end() if local else at + 1
 
 
-def found(text: str) -> list[tuple[int, int, str]]:
-    """Entities as (start, end, kind), in order, not overlapping; of two that overlap, the one of the earlier kind."""
+def _starts_word(text: str, at: int) -> bool:
+    return not at or not (text[at - 1].isalnum() or text[at - 1] == "_")
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, int | None]]:
+    """Entities as (start, end, kind, canonical form, which word of a name or None for all), in order, not overlapping.
+
+    Of two that overlap, the one of the earlier kind; of names, one after a title, then a listed one, then those that
+    have been found elsewhere in the text.
+    """
     spans = list(_emails(text))
     spans += [(m.start(), m.end(), m.lastgroup) for m in _DIGITS.finditer(text)]
-    spans += [(m.start() + m[0].index(" ") + 1, m.end(), "name") for m in _NAME.finditer(text)]
     spans.sort(key=lambda s: (KINDS.index(s[2]), s[0]))
+    spans += [(m.start() + m[0].index(" ") + 1, m.end(), "name") for m in _NAME.finditer(text)]
+    spans += [(m.start(), m.end(), "name") for m in _FULL.finditer(text) if _starts_word(text, m.start()) and m[0][m[0].rindex(" ") + 1].isupper()]
     starts, taken = [], []  # in order, side by side
-    for s in spans:
-        i = bisect_right(starts, s[0])
-        if (not i or taken[i - 1][1] <= s[0]) and (i == len(taken) or s[1] <= starts[i]):
-            starts.insert(i, s[0])
-            taken.insert(i, s)
+
+    def take(start: int, end: int, *what: object) -> None:
+        i = bisect_right(starts, start)
+        if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= starts[i]):
+            starts.insert(i, start)
+            taken.insert(i, (start, end, *what))
+
+    for start, end, kind in spans:
+        take(start, end, kind, canonical(kind, text[start:end]), None)
+    if names := dict.fromkeys(s[3] for s in taken if s[2] == "name"):
+        parts = {}
+        for name in names:
+            for k, word in enumerate(name.split(" ")):
+                parts.setdefault(word, (name, k))
+        words = [m.span() for m in _CAPITAL.finditer(text) if _starts_word(text, m.start()) and text[m.start()].isupper() and m[0].title() in parts]
+        longest = max(name.count(" ") + 1 for name in names)
+        for i, (start, end) in enumerate(words):
+            for _, last in reversed(words[i : i + longest]):
+                if (name := text[start:last].title()) in names:
+                    take(start, last, "name", name, None)
+                    break
+        for start, end in words:
+            take(start, end, "name", *parts[text[start:end].title()])
     return taken
 
 
+def found(text: str) -> list[tuple[int, int, str]]:
+    """Entities as (start, end, kind)."""
+    return [s[:3] for s in mentions(text)]
+
+
 def canonical(kind: str, mention: str) -> str:
     if kind in ("card", "ssn", "phone"):
         plus = "+" if mention.startswith("+") else ""
@@ -207,12 +246,12 @@ def formatted(kind: str, mention: str, new: str) -> str:
 
 def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with surrogates, and the entities' spans in the text as it was."""
-    spans, out, at = found(text), [], 0
-    for start, end, kind in spans:
-        canon = canonical(kind, text[start:end])
-        out += [text[at:start], formatted(kind, text[start:end], surrogate(kind, canon, attempts.get((kind, canon), 0), key))]
+    spans, out, at = mentions(text), [], 0
+    for start, end, kind, canon, part in spans:
+        new = surrogate(kind, canon, attempts.get((kind, canon), 0), key)
+        out += [text[at:start], formatted(kind, text[start:end], new if part is None else new.split(" ")[part])]
         at = end
-    return "".join([*out, text[at:]]), spans
+    return "".join([*out, text[at:]]), [s[:3] for s in spans]
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +259,7 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for rk, text in zip(batch.column("rk").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py() or ""
-            rows += sorted({(rk, kind, canonical(kind, text[a:b])) for a, b, kind in found(text)})
+            rows += sorted({(rk, kind, canon) for _, _, kind, canon, _ in mentions(text)})
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["rk", "kind", "canon"])
 
 
@@ -257,7 +296,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     prepare(docs.sparkSession)
     rk, again, into = free(docs, "pii_rk"), free(docs, "pii_more"), free(docs, "pii_spans")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
-    entities = texts.where(F.col("text").rlike(r"[0-9@]|" + "|".join(TITLES))).mapInArrow(_entities, "rk long, kind string, canon string").checkpoint()
+    entities = texts.where(F.col("text").rlike(_MAYBE)).mapInArrow(_entities, "rk long, kind string, canon string").checkpoint()
     more = attempts(entities, key).checkpoint()
     names = docs.columns
     keyed = docs.select("*", F.xxhash64("doc_id", "text").alias(rk))

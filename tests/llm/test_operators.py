@@ -384,6 +384,19 @@ def test_pii_keeps_formats_and_coreference(frame, odd_rows):
     assert given in pii.NAMES["f", "latin"] and re.search(r"Mr\. (\w+) ", rows[71].text)[1] in pii.NAMES["m", "latin"]
 
 
+def test_pii_finds_mentions_without_a_title(frame):
+    a = "Mr. John Smith called. John Smith paid, then Smith and JOHN SMITH left; Smithson and Blacksmith stayed. Smith's car."
+    b = "Yesterday Anna Maria Müller met Олег Смирнов. Müller wrote to Dr. Zorgon; Zorgon didn't answer. Annabel and Anna went."
+    rows = {r.doc_id: r for r in pii.replace(frame([(1, a, "a"), (2, b, "a"), (3, "So said John Smith.", "a"), (4, "Zorgon and Smith, Anna alone", "a")])).collect()}
+    new = rows[1].text
+    given, last = re.match(r"Mr\. (\w+) (\w+) called", new).groups()
+    assert new == f"Mr. {given} {last} called. {given} {last} paid, then {last} and {given.upper()} {last.upper()} left; Smithson and Blacksmith stayed. {last}'s car."
+    assert {given, last}.isdisjoint({"John", "Smith"}) and rows[3].text == f"So said {given} {last}."
+    words = re.fullmatch(r"Yesterday (\w+) (\w+) (\w+) met (\w+) (\w+)\. (\w+) wrote to Dr\. (\w+); (\w+) didn't answer\. Annabel and (\w+) went\.", rows[2].text).groups()
+    assert words[2] == words[5] and words[6] == words[7] and words[0] == words[8] and not set(words) & {"Anna", "Maria", "Müller", "Олег", "Смирнов", "Zorgon"}
+    assert words[3] in pii.NAMES["m", "cyrillic"] and rows[4].pii_spans == "" and rows[1].pii_spans.count("name") == 5
+
+
 def test_pii_in_very_long_texts():
     run, many = "x@ " + "a" * 1_000_000, [f"u{i}@ex.com" for i in range(50_000)]
     assert pii.found(run) == [] and pii.found(f"{run}@b.com") == [(3, len(run) + 6, "email")]
