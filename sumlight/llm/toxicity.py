@@ -6,7 +6,8 @@ learning rate; the L1 term keeps most weights at zero, so the weights that remai
 bounded by the number of places, whatever the size of the corpus: they are broadcast as two arrays.
 
 Learning: labelled rows outside the held-out fifth, at most MOST_ROWS of them and MOST_CHARS characters, those with the
-least hash of doc_id; this is the documented bound of the sample. Scoring covers every whole text.
+least hash of doc_id; this is the documented bound of the sample. A text that doesn't fit into the rest of the characters
+is passed over, and if none fits, that is an error. Scoring covers every whole text.
 
 Nulls and odd rows: a null or empty text has the bias alone as its score; labels that are null or without a document
 are left out; of several labels for one id the largest counts; a null doc_id is scored as any other. With no usable
@@ -95,11 +96,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     joined = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").select("order", "label", "text")
     sizes = joined.select("order", F.octet_length("text").alias("size")).groupBy("order").agg(F.max("size").alias("size"))
     held = sorted(tuple(r) for r in sizes.collect())  # one row for each row of the sample
-    upto = np.cumsum([size or 0 for _, size in held]) if held else np.zeros(0)
-    kept = int(np.searchsorted(upto, most_chars, side="right"))
-    if not kept:
+    if not held:
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
-    rows = joined.where(F.col("order") <= held[kept - 1][0]).mapInArrow(_featurise, "order long, label int, places binary").collect()
+    left, over = most_chars, []
+    for order, size in held:
+        if (size or 0) <= left:
+            left -= size or 0
+        else:
+            over.append(order)
+    if len(over) == len(held):
+        raise ValueError(f"none of the {len(held)} labelled texts has at most {most_chars} characters")
+    rows = joined.where(~F.col("order").isin(over)).mapInArrow(_featurise, "order long, label int, places binary").collect()
     rows.sort(key=lambda r: (r["order"], bytes(r["places"])))
     return learn([(np.frombuffer(r["places"], np.int32), r["label"]) for r in rows])
 

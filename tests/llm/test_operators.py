@@ -260,6 +260,17 @@ def test_toxicity(spark, frame, odd_rows):
     assert all(f.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, f in found.items())
 
 
+def test_toxicity_passes_over_a_text_that_does_not_fit(spark, frame):
+    order = [r.id for r in spark.sql("select id from range(60) where crc32(cast(cast(id as string) as binary)) % 5 != 0 order by xxhash64(id)").collect()]
+    docs = frame([(i, ("vile " if k % 2 else "kind ") + "words " * (500 if k in (0, 9) else 1), "a") for k, i in enumerate(order)])
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(order)], "doc_id long, toxic int")
+    weights = toxicity.train(docs, labels, most_chars=1000)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, weights, "doc_id").collect()}
+    assert all((scores[i] > 0.5) == (k % 2 == 1) for k, i in enumerate(order))
+    with pytest.raises(ValueError, match="labelled texts"):
+        toxicity.train(docs, labels, most_chars=3)
+
+
 def test_media_round_trip(frame, odd_rows):
     for r in media.digests(frame(odd_rows)).collect():
         text = next((t or "").encode() for i, t, _ in odd_rows if i == r.doc_id)
