@@ -183,11 +183,10 @@ def unpack_gaps(data: bytes) -> np.ndarray:
 
 def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each part that occurs: the indices that belong to it, in ascending order."""
-    order = np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
-    for p in range(parts):
-        if ends[p] > (begin := ends[p - 1] if p else 0):
-            yield p, order[begin : ends[p]]
+    order, begin = groups(part.astype(np.uint16) if parts <= 65536 else part)
+    ends = np.append(begin[1:], len(order))
+    for at, end in zip(begin.tolist(), ends.tolist(), strict=False):
+        yield int(part[order[at]]), order[at:end]
 
 
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -13,11 +13,12 @@ of the tokens, may be broadcast; that is a short cut only, and all other counts
 
 Three passes over the texts: words are counted; pairs are counted and give the statistics of EM, which are sums over
 all pairs in cells of about equal probabilities (CELLS to a power of two); then tokens meet their counts, and their
-logarithms are summed by document. The second and third pass have two shuffles. In the first, a partition holds all
-tokens that share a frequent pair of words, or a rare context, whose count is that of its tokens; in the second, all
-that share a rare word. A rare word after a rare context takes the context's counts along from the first to the second.
-Tokens are packed in arrays of 7 to 18 bytes each; frequent pairs are looked up in place and never sent, so no key has
-more than N / 2**SHARE training tokens in a partition.
+logarithms are summed by document. In the second and third pass a partition holds all tokens that share a frequent pair
+of words, a rare context or a rare word after a frequent one, and the counts of the rare words among these, which come
+from the first pass. A pair of two rare words goes to its context's partition, and with that count on to its word's: the
+only tokens that are sent twice. Tokens are packed: frequent words as their ranks, in bytes of one significance together
+and compressed, rare ones as 64-bit hashes. Frequent pairs are looked up in place and never sent, so no key has more
+than N / 2**SHARE training tokens in a partition.
 
 Nulls and odd rows: a null or empty text is one token, its end. A null doc_id counts as empty text in the split.
 Repeated rows are counted as often as they occur and have equal scores. Without training documents N = V = 0 and all
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import gc
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ FOLDS, HELD = 7, 2
 SHARE = 20
 #: A power of two of probability is cut into so many cells for EM.
 CELLS = 8
-ROUNDS = 60
+#: EM ends when no weight of a bucket changes by more than that, or after so many rounds.
+SETTLED, ROUNDS = 1e-9, 2_000
 PER_PART = 6_000_000
 #: Tokens that a task holds at a time; there are a dozen arrays of that length.
 CHUNK = 1_500_000
@@ -50,8 +52,8 @@ END = np.uint64(0x2545F4914F6CDD1D)
 #: Numbers of contexts: any rare or unknown word, a text's beginning, then the frequent words from 2 on.
 RARE, BEGIN = 0, 1
 #: What a packed row is about: pairs by which of both words are rare; sums by document; pairs that were BOTH, with the
-#: context's counts; cells of EM; frequent pairs' counts.
-NEITHER, WORD, SUMS, CONTEXT, BOTH, MET, CELL, OFTEN = range(8)
+#: context's counts; cells of EM; frequent pairs' counts; rare words' counts.
+NEITHER, WORD, SUMS, CONTEXT, BOTH, MET, CELL, OFTEN, COUNT = range(9)
 
 
 def training(doc_id: int | None) -> bool:
@@ -83,18 +85,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Known:
-    """The frequent words: their numbers as contexts, and counts by number."""
+    """The frequent words: their numbers as contexts, the most frequent first, and counts by number."""
 
     def __init__(self, words: np.ndarray, n: np.ndarray, kept: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.n, self.kept = words[order], n[order], kept[order]
+        first = np.lexsort((words, -n))
+        self.n, self.kept = n[first], kept[first]
+        order = np.argsort(words[first])
+        self.words, self.numbers = words[first][order], order + 2
 
     def number(self, tokens: np.ndarray) -> np.ndarray:
         """2 and up for frequent words, RARE for others."""
         if not len(self.words):
             return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, at + 2, RARE)
+        return np.where(self.words[at] == tokens, self.numbers[at], RARE)
 
 
 def _home(words: np.ndarray) -> np.ndarray:
@@ -121,8 +125,44 @@ _FIELDS = ["part", "kind", "first", "second", "counts", "kept", "docs", "rks"]
 _TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
 
+#: Bytes of packed rows that go into one Arrow batch, or a little more.
+BATCH = 2 << 20
+
+
+def _row_of(part: int, kind: int, first: bytes, second: bytes | None, counts: bytes | None, kept: bytes | None, docs: bytes | None = None, rks: bytes | None = None) -> tuple:
+    return part, kind, first, second, counts, kept, docs, rks
+
+
+def _rows(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row[2:] if x is not None)
+        if size >= BATCH:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES, strict=True)], _FIELDS)
+
+
 def _row(*values: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES, strict=True)], _FIELDS)
+    return _batch([values])
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of frequent words, three bytes each; those of one significance together, as the higher ones are mostly 0."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :3] = np.frombuffer(pa.decompress(data, 3 * n, "zstd", asbytes=True), np.uint8).reshape(3, n).T
+    return out.reshape(-1).view("<u4").astype(np.int64)
 
 
 def _split(context: np.ndarray, before: np.ndarray, own: np.ndarray, tokens: np.ndarray, key: np.ndarray, dealt: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, bytes, bytes]]:
@@ -133,8 +173,8 @@ def _split(context: np.ndarray, before: np.ndarray, own: np.ndarray, tokens: np.
         some = np.flatnonzero(kinds == kind)
         for p, at in by_part(part[some], len(dealt)):
             at = some[at]
-            first = narrow(context[at].astype(np.uint64), 3) if kind in (NEITHER, WORD) else narrow(before[at], 8)
-            second = narrow(own[at].astype(np.uint64), 3) if kind in (NEITHER, CONTEXT) else narrow(tokens[at], 8)
+            first = _squeezed(context[at]) if kind in (NEITHER, WORD) else narrow(before[at], 8)
+            second = _squeezed(own[at]) if kind in (NEITHER, CONTEXT) else narrow(tokens[at], 8)
             yield int(dealt[p]), kind, at, first, second
 
 
@@ -153,8 +193,20 @@ def _send_counts(sent, dealt: np.ndarray):
             n = np.diff(np.append(begin, len(order)))
             kept = np.add.reduceat((role[use][order] == 1).astype(np.int64), begin)
             one = use[order[begin]]
-            for p, kind, at, first, second in _split(context[one], before[one], own[one], chunk.tokens[one], key[one], dealt):
-                yield _row(p, kind, first, second, _pack(n[at]), _pack(kept[at]), None, None)
+            near = np.lexsort((own[one], context[one]))  # neighbours with like numbers compress well
+            one, n, kept = one[near], n[near], kept[near]
+            yield from _rows(_row_of(p, kind, first, second, _pack(n[at]), _pack(kept[at])) for p, kind, at, first, second in _split(context[one], before[one], own[one], chunk.tokens[one], key[one], dealt))
+
+    return run
+
+
+def _send_rare(dealt: np.ndarray):
+    """Counts of rare words to where their tokens are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n, kept = (batch.column(c).to_numpy() for c in ("word", "n", "kept"))
+            word = word.view(np.uint64)
+            yield from _rows(_row_of(int(dealt[p]), COUNT, narrow(word[at], 8), None, _pack(n[at]), _pack(kept[at])) for p, at in by_part(parts_of(_home(word), len(dealt)), len(dealt)))
 
     return run
 
@@ -168,25 +220,46 @@ def _unpack(rows: list[dict], field: str) -> np.ndarray:
     return np.concatenate([np.diff(unpack_gaps(r[field]), prepend=0) for r in rows])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], now: tuple[int, ...], by_kind: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-    """Rows of the kinds that are for now go to by_kind, the others on."""
-    by_kind.update({kind: [] for kind in now})
+def _gathered(batches: Iterator[pa.RecordBatch], now: tuple[int, ...], by_kind: dict[int, list[dict]], both: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Rows of the kinds that are for now go to by_kind, the others on; those of both kinds do both."""
+    by_kind.update({kind: [] for kind in (*now, *both)})
     for batch in batches:
-        for row in batch.to_pylist():
+        rows = batch.to_pylist()
+        for row in rows:
             if row["kind"] in by_kind:
                 by_kind[row["kind"]].append(row)
-            else:
-                yield _row(*row.values())
+        yield from _rows(tuple(row.values()) for row in rows if row["kind"] not in now)
 
 
 def _keys(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The contexts, and the words: numbers or hashes."""
-    first = np.concatenate([widen(r["first"], 3 if kind in (NEITHER, WORD) else 8) for r in rows])
-    return first, np.concatenate([widen(r["second"], 3 if kind in (NEITHER, CONTEXT) else 8) for r in rows])
+    first, second = [], []
+    for r in rows:
+        hashes = r["first"] if kind in (CONTEXT, BOTH) else r["second"]
+        n = len(hashes) // 8 if kind != NEITHER else int.from_bytes(r["counts"][:8], "little")
+        first.append(_numbers(r["first"], n) if kind in (NEITHER, WORD) else widen(r["first"], 8))
+        second.append(_numbers(r["second"], n) if kind in (NEITHER, CONTEXT) else widen(r["second"], 8))
+    return np.concatenate(first), np.concatenate(second)
+
+
+class Rare:
+    """Counts of the rare words that belong to a partition."""
+
+    def __init__(self, rows: list[dict], field: str):
+        words = np.concatenate([widen(r["first"], 8) for r in rows]) if rows else np.zeros(0, np.uint64)
+        order = np.argsort(words)
+        self.words, self.counts = words[order], _unpack(rows, field)[order] if rows else np.zeros(0, np.int64)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """0 for a word that no training document has."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
 
 
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(second * np.uint64(0x9E3779B97F4A7C15) + first)
+    return mix(second.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
 
 
 def _totals(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
@@ -210,14 +283,6 @@ def _distinct(rows: list[dict], kind: int) -> tuple[np.ndarray, ...]:
     return first[one], second[one], *[np.add.reduceat(_unpack(rows, field)[order], begin) for field in ("counts", "kept")]
 
 
-def _sums(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each entry, the sum over all with its key."""
-    order, begin = groups(key)
-    out = np.empty(len(key), np.int64)
-    out[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff(np.append(begin, len(key))))
-    return out
-
-
 def _cell_row(part: int, total: int, held: np.ndarray, kept: np.ndarray, context_kept: np.ndarray, word_kept: np.ndarray) -> pa.RecordBatch:
     use = held > 0
     cells, *sums = _cells(held[use], bucket(context_kept[use]), kept[use] / np.maximum(context_kept[use], 1), word_kept[use] / max(total, 1))
@@ -227,37 +292,33 @@ def _cell_row(part: int, total: int, held: np.ndarray, kept: np.ndarray, context
 def _meet_contexts(sent, totals: dict, dealt: np.ndarray):
     """For EM: held-out tokens by bucket and cell of both estimates; and the frequent pairs with their counts.
 
-    Pairs with a rare word go on: after a rare context, with its count.
+    Pairs of two rare words go on with their context's count.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, by_kind = Known(*sent.value), {}
         count = np.concatenate([[0, totals["begin_kept"]], known.kept])
-        yield from _gathered(batches, (NEITHER, CONTEXT, BOTH), by_kind)
-        if rows := by_kind[NEITHER]:
-            first, second, n, kept = _distinct(rows, NEITHER)
-            yield _cell_row(rows[0]["part"], totals["kept"], n - kept, kept, count[first.astype(np.int64)], count[second.astype(np.int64)])
-            if (often := np.flatnonzero(n >= totals["least"])).size:
-                yield _row(rows[0]["part"], OFTEN, ((first[often] << np.uint64(32)) | second[often]).tobytes(), n[often].astype("<i8").tobytes(), *[None] * 4)
-        pairs = {kind: _distinct(by_kind[kind], kind) for kind in (CONTEXT, BOTH) if by_kind[kind]}
-        if not pairs:
-            return
-        of_context = _sums(*[np.concatenate([x[i] for x in pairs.values()]) for i in (0, 3)])
-        for kind, (first, second, n, kept) in pairs.items():
-            own, of_context = of_context[: len(first)], of_context[len(first) :]
-            if kind == CONTEXT:
-                yield _cell_row(by_kind[kind][0]["part"], totals["kept"], n - kept, kept, own, count[second.astype(np.int64)])
-            else:
-                for p, at in by_part(parts_of(_home(second), len(dealt)), len(dealt)):
-                    yield _row(int(dealt[p]), MET, _pack(own[at]), narrow(second[at], 8), _pack(n[at]), _pack(kept[at]), None, None)
+        yield from _gathered(batches, (NEITHER, WORD, CONTEXT, BOTH), by_kind, (COUNT,))
+        rare = Rare(by_kind.pop(COUNT), "kept")
+        for kind in (NEITHER, WORD, CONTEXT):
+            if not (rows := by_kind.pop(kind)):
+                continue
+            first, second, n, kept = _distinct(rows, kind)
+            of_context = rare.of(first) if kind == CONTEXT else count[first]
+            yield _cell_row(rows[0]["part"], totals["kept"], n - kept, kept, of_context, rare.of(second) if kind == WORD else count[second])
+            if kind == NEITHER and (often := np.flatnonzero(n >= totals["least"])).size:
+                yield _row(rows[0]["part"], OFTEN, ((first[often] << 32) | second[often]).astype("<i8").tobytes(), n[often].astype("<i8").tobytes(), *[None] * 4)
+        if rows := by_kind.pop(BOTH):
+            first, second, n, kept = _distinct(rows, BOTH)
+            own = rare.of(first)
+            yield from _rows(_row_of(int(dealt[p]), MET, _pack(own[at]), narrow(second[at], 8), _pack(n[at]), _pack(kept[at])) for p, at in by_part(parts_of(_home(second), len(dealt)), len(dealt)))
 
     return run
 
 
 def _meet_words(sent, totals: dict):
-    """The rest of the statistics, from pairs with a rare word, and all of them unpacked."""
+    """The rest of the statistics, from pairs of two rare words, and all of them unpacked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, by_kind, names = Known(*sent.value), {}, ["cell", "bucket", "weight", "p2", "p1", "count"]
-        count = np.concatenate([[0, totals["begin_kept"]], known.kept])
+        by_kind, names = {}, ["cell", "bucket", "weight", "p2", "p1", "count"]
 
         def out(row: dict) -> pa.RecordBatch:
             cell = np.frombuffer(row["first"], "<i8")
@@ -268,17 +329,12 @@ def _meet_words(sent, totals: dict):
                 columns = [pa.array(cell >> 40), *[pa.array(np.frombuffer(row[x], "<f8")) for x in ("second", "counts", "kept")], pa.array(none, pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(cell), *columns], names)
 
-        for other in _gathered(batches, (WORD, MET), by_kind):
-            yield out(other.to_pylist()[0])
-        pairs = []
-        if rows := by_kind[WORD]:
-            first, second, n, kept = _distinct(rows, WORD)
-            pairs.append((second, n, kept, count[first.astype(np.int64)]))
+        for other in _gathered(batches, (MET, COUNT), by_kind):
+            yield from map(out, other.to_pylist())
         if rows := by_kind[MET]:
-            pairs.append((np.concatenate([widen(r["second"], 8) for r in rows]), _unpack(rows, "counts"), _unpack(rows, "kept"), _unpack(rows, "first")))
-        if pairs:
-            second, n, kept, of_context = [np.concatenate(x) for x in zip(*pairs)]
-            yield out(_cell_row(0, totals["kept"], n - kept, kept, of_context, _sums(second, kept)).to_pylist()[0])
+            second, n, kept = np.concatenate([widen(r["second"], 8) for r in rows]), _unpack(rows, "counts"), _unpack(rows, "kept")
+            row = _cell_row(0, totals["kept"], n - kept, kept, _unpack(rows, "first"), Rare(by_kind[COUNT], "kept").of(second))
+            yield out(row.to_pylist()[0])
 
     return run
 
@@ -304,10 +360,12 @@ def fit(b: np.ndarray, weight: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: f
         parts = np.stack([p2[use], p1[use], np.full(use.sum(), p0)])
         w = np.full(3, 1 / 3)
         for _ in range(rounds):
-            mixed = w[:, None] * parts
+            mixed, before = w[:, None] * parts, w
             w = (mixed / mixed.sum(axis=0) * weight[use]).sum(axis=1)
             w = np.maximum(w / w.sum(), 1e-9)
             w /= w.sum()
+            if np.abs(w - before).max() < SETTLED:
+                break
         return w
 
     everywhere = one(weight > 0) if weight.sum() else np.array([0.0, 0.0, 1.0])
@@ -343,6 +401,12 @@ class Model:
         return np.log10(p), np.log10((word + 1) / self.base)
 
 
+def _places(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ascending array, and each element's place among them."""
+    new = np.concatenate([[True], ascending[1:] != ascending[:-1]])
+    return ascending[new], np.cumsum(new) - 1
+
+
 def _send_tokens(sent, dealt: np.ndarray):
     """Tokens to where their counts are, but for frequent pairs: of those the sums are given at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +426,13 @@ def _send_tokens(sent, dealt: np.ndarray):
             yield _sums_row(int(dealt[int(chunk.rk[0]) % len(dealt)]), chunk.rk, *sums)
             rest = np.flatnonzero(~often)
             counted = _roles(chunk) > 0
-            for p, kind, at, first, second in _split(context[rest], before[rest], own[rest], chunk.tokens[rest], key[rest], dealt):
-                docs, place = np.unique(owner[rest[at]], return_inverse=True)
-                yield _row(p, kind, first, second, pack_gaps(place), counted[docs].tobytes(), None, chunk.rk[docs].astype("<i8").tobytes())
+
+            def packed() -> Iterator[tuple]:
+                for p, kind, at, first, second in _split(context[rest], before[rest], own[rest], chunk.tokens[rest], key[rest], dealt):
+                    docs, place = _places(owner[rest[at]])
+                    yield _row_of(p, kind, first, second, pack_gaps(place), counted[docs].tobytes(), None, chunk.rk[docs].astype("<i8").tobytes())
+
+            yield from _rows(packed())
 
     return run
 
@@ -389,39 +457,39 @@ def _by_document(rows: list[dict], logs: Callable[[slice], tuple[np.ndarray, np.
 
 
 def _score_contexts(sent, dealt: np.ndarray):
-    """Scores tokens whose word is frequent; a rare word after a rare context goes on with the counts that it met."""
+    """Scores tokens but those of two rare words; these go on with the counts that they met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_word, kept_word, _, _, totals, weights = sent.value
         model, by_kind, done = Model(Known(words, n_word, kept_word), totals, weights), {}, []
-        yield from _gathered(batches, (NEITHER, CONTEXT, BOTH), by_kind)
-        if rows := by_kind.pop(NEITHER):
-            first, second = [x.astype(np.int32) for x in _keys(rows, NEITHER)]
-            pair = _totals(np.concatenate([_pair_key(*_keys([r], NEITHER)) for r in rows]), _counted(rows))
-
-            def logs(own: slice) -> tuple[np.ndarray, ...]:
-                seen = model.count[second[own]]
-                return *model.numbered(first[own], pair[own], seen), seen
+        yield from _gathered(batches, (NEITHER, WORD, CONTEXT, BOTH), by_kind, (COUNT,))
+        rare = Rare(by_kind.pop(COUNT), "counts")
 
-            done += _by_document(rows, logs)
-        if rows := by_kind[CONTEXT] + by_kind[BOTH]:
-            keys = [_keys(by_kind[kind], kind) for kind in (CONTEXT, BOTH) if by_kind[kind]]
-            first, second = [np.concatenate(x) for x in zip(*keys)]
-            counted = _counted(rows)
-            context, pair = _totals(first, counted), _totals(_pair_key(first, second), counted)
+        def met(rows: list[dict], kind: int) -> None:
+            first, second = _keys(rows, kind)
+            pair = _totals(_pair_key(first, second), _counted(rows))
 
             def logs(own: slice) -> tuple[np.ndarray, ...]:
-                seen = model.count[second[own].astype(np.int64)]
-                return *model.counted(context[own], pair[own], seen), seen
-
-            done += _by_document(by_kind[CONTEXT], logs)
-            if rows := by_kind[BOTH]:
-                sizes = [len(r["rks"]) // 8 for r in rows]
-                owner = np.concatenate([unpack_gaps(r["counts"]) + shift for r, shift in zip(rows, np.cumsum([0, *sizes]), strict=False)])
-                rks, roles = np.concatenate([np.frombuffer(r["rks"], "<i8") for r in rows]), np.concatenate([np.frombuffer(r["kept"], bool) for r in rows])
-                second, context, pair = second[-len(owner) :], context[-len(owner) :], pair[-len(owner) :]
+                seen = rare.of(second[own]) if kind == WORD else model.count[second[own]]
+                return *(model.counted(rare.of(first[own]), pair[own], seen) if kind == CONTEXT else model.numbered(first[own], pair[own], seen)), seen
+
+            done.extend(_by_document(rows, logs))
+
+        for kind in (NEITHER, WORD, CONTEXT):
+            if rows := by_kind.pop(kind):
+                met(rows, kind)
+        if rows := by_kind.pop(BOTH):
+            first, second = _keys(rows, BOTH)
+            context, pair = rare.of(first), _totals(_pair_key(first, second), _counted(rows))
+            sizes = [len(r["rks"]) // 8 for r in rows]
+            owner = np.concatenate([unpack_gaps(r["counts"]) + shift for r, shift in zip(rows, np.cumsum([0, *sizes]), strict=False)])
+            rks, roles = np.concatenate([np.frombuffer(r["rks"], "<i8") for r in rows]), np.concatenate([np.frombuffer(r["kept"], bool) for r in rows])
+
+            def packed() -> Iterator[tuple]:
                 for p, at in by_part(parts_of(_home(second), len(dealt)), len(dealt)):
                     docs, place = np.unique(owner[at], return_inverse=True)
-                    yield _row(int(dealt[p]), MET, _pack(context[at]), narrow(second[at], 8), pack_gaps(place), roles[docs].tobytes(), _pack(pair[at]), rks[docs].tobytes())
+                    yield _row_of(int(dealt[p]), MET, _pack(context[at]), narrow(second[at], 8), pack_gaps(place), roles[docs].tobytes(), _pack(pair[at]), rks[docs].tobytes())
+
+            yield from _rows(packed())
         if done:
             rks, *sums = [np.concatenate(x) for x in zip(*done)]
             order, begin = groups(rks)
@@ -433,31 +501,21 @@ def _score_contexts(sent, dealt: np.ndarray):
 
 
 def _score_words(sent):
-    """Scores tokens whose word is rare, and unpacks all sums."""
+    """Scores tokens of two rare words, and unpacks all sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n_word, kept_word, _, _, totals, weights = sent.value
-        model, by_kind = Model(Known(words, n_word, kept_word), totals, weights), {}
-
-        def out(rks: np.ndarray, score: np.ndarray, base: np.ndarray, n_known: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rks), pa.array(score), pa.array(base), pa.array(n_known.astype(np.int64))], ["rk", "score", "base_score", "n_known"])
-
-        for other in _gathered(batches, (WORD, MET), by_kind):
-            row = other.to_pylist()[0]
-            yield out(np.frombuffer(row["rks"], "<i8"), np.frombuffer(row["first"], "<f8"), np.frombuffer(row["second"], "<f8"), _unpack([row], "counts"))
-        if not (rows := by_kind[WORD] + by_kind[MET]):
-            return
-        counted, n = _counted(rows), 0
-        word = _totals(np.concatenate([widen(r["second"], 8) for r in rows]), counted)
-        if rows := by_kind[WORD]:
-            first = np.concatenate([widen(r["first"], 3) for r in rows]).astype(np.int32)
-            n = len(first)
-            pair = _totals(np.concatenate([_pair_key(*_keys([r], WORD)) for r in rows]), counted[:n])
-            for sums in _by_document(rows, lambda own: (*model.numbered(first[own], pair[own], word[own]), word[own])):
-                yield out(*sums)
+        model, by_kind, done = Model(Known(words, n_word, kept_word), totals, weights), {}, []
+        for other in _gathered(batches, (MET, COUNT), by_kind):
+            done += [(np.frombuffer(r["rks"], "<i8"), np.frombuffer(r["first"], "<f8"), np.frombuffer(r["second"], "<f8"), _unpack([r], "counts")) for r in other.to_pylist()]
         if rows := by_kind[MET]:
-            context, pairs, own_word = _unpack(rows, "first"), _unpack(rows, "docs"), word[n:]
-            for sums in _by_document(rows, lambda own: (*model.counted(context[own], pairs[own], own_word[own]), own_word[own])):
-                yield out(*sums)
+            word = Rare(by_kind[COUNT], "counts").of(np.concatenate([widen(r["second"], 8) for r in rows]))
+            context, pair = _unpack(rows, "first"), _unpack(rows, "docs")
+            done += _by_document(rows, lambda own: (*model.counted(context[own], pair[own], word[own]), word[own]))
+        if done:
+            rks, *sums = [np.concatenate(x) for x in zip(*done)]
+            order, begin = groups(rks)
+            score, base, n_known = [np.add.reduceat(x[order], begin) for x in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(rks[order[begin]]), pa.array(score), pa.array(base), pa.array(n_known.astype(np.int64))], ["rk", "score", "base_score", "n_known"])
 
     return run
 
@@ -474,14 +532,14 @@ def score(docs: DataFrame) -> DataFrame:
     least = max(1, -(-n >> SHARE))
     # At most N / least <= 2**SHARE rows, whatever N is; the end is among them as a word that may follow. Rarer ones meet their counts in shuffles.
     often = counts.where((F.col("n") >= least) | (F.col("word") == int(END.view(np.int64)))).toArrow()
-    known = Known(often["word"].to_numpy().view(np.uint64), often["n"].to_numpy(), often["kept"].to_numpy())
-    words = known.words, known.n, known.kept
+    words = often["word"].to_numpy().view(np.uint64), often["n"].to_numpy(), often["kept"].to_numpy()
     totals = {"n": n, "v": v, "kept": kept, "least": least, "begin": ends or 0, "begin_kept": ends_kept or 0}
     dealt = part_keys(spark, part_count(spark, n, PER_PART))
     parts = len(dealt)
 
     sent = sc.broadcast(words)
-    met = texts.mapInArrow(_send_counts(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_meet_contexts(sent, totals, dealt), _SENT)
+    rare = counts.where((F.col("n") < least) & (F.col("word") != int(END.view(np.int64))) & (F.col("n") > 0)).mapInArrow(_send_rare(dealt), _SENT)
+    met = texts.mapInArrow(_send_counts(sent, dealt), _SENT).union(rare).repartition(parts, "part").mapInArrow(_meet_contexts(sent, totals, dealt), _SENT)
     found = met.repartition(parts, "part").mapInArrow(_meet_words(sent, totals), "cell long, bucket long, weight double, p2 double, p1 double, count long").groupBy("cell", "bucket").agg(F.sum("weight").alias("weight"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"), F.max("count").alias("count")).toArrow()
     # Cells are at most buckets x cells**2; pairs with their share at most 2**SHARE.
     is_pair = np.array(found["bucket"].is_null())
@@ -493,13 +551,13 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(pairs)
 
     # The shuffles so far are of no more use; the JVM deletes their files once it has collected the frames, in two rounds.
-    del counts, met
+    del met
     for _ in range(2):
         gc.collect()
         sc._jvm.System.gc()
         time.sleep(0.5)
     sent = sc.broadcast((*words, pairs[order], pair_n[order], totals, weights))
-    met = texts.mapInArrow(_send_tokens(sent, dealt), _SENT).repartition(parts, "part").mapInArrow(_score_contexts(sent, dealt), _SENT)
+    met = texts.mapInArrow(_send_tokens(sent, dealt), _SENT).union(rare).repartition(parts, "part").mapInArrow(_score_contexts(sent, dealt), _SENT)
     scored = met.repartition(parts, "part").mapInArrow(_score_words(sent), "rk long, score double, base_score double, n_known long")
     # Equal rows have one key, so a sum is of all of them together.
     sums = scored.groupBy("rk").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
