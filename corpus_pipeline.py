@@ -41,8 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where docs has a column of such a name, the new one has an underscore after it.
     """
-    mixed = mixing.apply_mix(docs).where("mix_copies > 0")
-    new = {"size": F.col("mix_size"), "source_size": F.col("mix_source_size"), "target": F.col("mix_target"), "copies": F.col("mix_copies"), "taken": F.col("mix_copies") * F.col("mix_size")}
+    size, source_size, target, copies = (F.col(f"`{c}`") for c in mixing.added(docs).values())
+    mixed = mixing.apply_mix(docs).where(copies > 0)
+    new = {"size": size, "source_size": source_size, "target": target, "copies": copies, "taken": copies * size}
     return mixed.select(*docs.columns, *(c.alias(free(docs, name)) for name, c in new.items()))
 
 
@@ -58,12 +59,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for `documents`; what stages write goes to the folder for checkpoints."""
+    """The last stage's rows for `documents`. Stages write to the folder for checkpoints; only the last folder stays."""
     prepare(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        out = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if before:
+            _delete(spark, before)
+        before = out
     return docs

@@ -8,22 +8,24 @@ the buckets are single hashes.
 
 Nulls and odd rows: a null text has size 0; a null source is a source of its own and comes last; a null doc_id hashes
 as empty text. Rows with one doc_id share their hash and are taken or left together. An empty table gives an empty
-result. Other columns of the input are ignored by `mix` and kept by `apply_mix`.
-
-Scale: documents are scanned once for (source, hash, size), which is cut off by checkpoint(); a round then sums at
-most sources x 4096 rows. The thresholds, one row a source, reach the documents by a join on source and salt, so a
-source with a third of all rows is spread over SALTS partitions.
+result. Other columns of the input are ignored by `mix` and kept by `apply_mix`; where one of them has the name of a new
+column, the new one has an underscore after it.
+
+Scale: documents are scanned once for (source, hash, size), which is cut off by checkpoint(). The first round sums all of
+these, partly before the shuffle; each further round first drops the documents outside of its source's boundary bucket,
+all but one in 4096 or so, and sums the rest. So a round's sums are at most 4096 rows a source. The state, one row a
+source, is broadcast if its measured size is at most MOST_BROADCAST bytes; beyond that it is joined by source and salt,
+with a salt for each ROWS_A_SALT rows of the largest source. No document is sorted, and texts are never shuffled as long
+as the sources fit into a broadcast.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, prepare, read
+from .common import WORD, free, prepare, read
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,7 +33,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Bits of the hash, and those that one round settles.
 BITS, STEP = 60, 12
-SALTS = 16
+MOST_BROADCAST = 16 << 20
+ROWS_A_SALT = 1_000_000
+#: What apply_mix adds to a row.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def size_of(text: Column) -> Column:
@@ -67,21 +72,41 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return table.select("source", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("weight")), F.col("limit")).alias("target"))
 
 
-def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
+def by_source(rows: DataFrame, state: DataFrame, salt: Column, most_rows: int) -> tuple[DataFrame, DataFrame, Column]:
+    """rows and state, and the condition that joins them by rows' `source` and state's `s`: see Scale above."""
+    size = state.agg(F.sum(F.coalesce(F.octet_length(F.col("s").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if size <= MOST_BROADCAST:
+        return rows, F.broadcast(state), same
+    salts = -(-most_rows // ROWS_A_SALT)
+    own, other = free(rows, "salt"), free(rows, "state_salt")
+    return rows.withColumn(own, F.pmod(salt, F.lit(salts)).cast("int")), state.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), same & (F.col(own) == F.col(other))
+
+
+def histogram(sized: DataFrame, bits: int) -> DataFrame:
+    """source, bucket, size: sums by the hash without its last bits."""
+    return sized.groupBy("source", F.shiftright("hash", bits).alias("bucket")).agg(F.sum("size").alias("size"))
+
+
+def thresholds(sized: DataFrame, goals: DataFrame, most_rows: int = ROWS_A_SALT) -> DataFrame:
     """source, hash, size and source, source_size, target -> source, source_size, target, whole, threshold.
 
     A document is taken `whole` times, and once more if its hash is at most the threshold. Among the hashes, the
     threshold is the last one whose documents, added to those before, end nearer to the budget than they began.
+    most_rows: rows of the largest source.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # prefix: the boundary bucket so far; before: the size of all below it; done: the hashes below it are taken.
     state = state.withColumn("prefix", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
-    for bits in range(BITS - STEP, -1, -STEP):
-        bucket = F.shiftright(F.col("hash"), bits)
-        here = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-        now = state.withColumnRenamed("source", "s")
-        here = here.join(now, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(F.col("bucket"), STEP) == F.col("prefix")), "right").select(F.col("s").alias("source"), "source_size", "target", "whole", "rest", "prefix", "before", "bucket", F.coalesce("size", F.lit(0)).alias("size"))
+    for bits in range(BITS - STEP, -STEP - 1, -STEP):
+        if bits < BITS - STEP:
+            rows, few, same = by_source(sized, state.select(F.col("source").alias("s"), "prefix"), F.col("hash"), most_rows)
+            sized = rows.join(few, same & (F.shiftright("hash", bits + STEP) == F.col("prefix"))).select("source", "hash", "size").checkpoint()
+        if bits < 0:
+            break
+        here = histogram(sized, bits).join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "right")
+        here = here.select(F.col("s").alias("source"), "source_size", "target", "whole", "rest", "prefix", "before", "bucket", F.coalesce("size", F.lit(0)).alias("size"))
         upto = F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
         here = here.withColumn("begin", F.col("before") + upto - F.col("size")).withColumn("end", F.col("before") + upto)
         # The boundary: the first bucket whose sizes pass the budget; with none, the last one.
@@ -90,26 +115,32 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         state = here.groupBy("source", "source_size", "target", "whole", "rest").agg(pick.alias("p"))
         state = state.select("source", "source_size", "target", "whole", "rest", F.coalesce(F.col("p.bucket"), F.lit(0)).alias("prefix"), F.col("p.begin").alias("before"))
         state = state.checkpoint()
-    # The boundary is now one hash; its documents are taken if that ends nearer to the budget.
-    at = sized.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("prefix"))).groupBy(F.col("s").alias("source")).agg(F.sum("size").alias("at"))
+    # The boundary is now one hash, and sized its documents; they are taken if that ends nearer to the budget.
+    at = sized.groupBy("source").agg(F.sum("size").alias("at"))
     both = state.withColumnRenamed("source", "s").join(at, F.col("source").eqNullSafe(F.col("s")), "left")
     nearer = 2 * F.col("before") + F.coalesce("at", F.lit(0)) <= 2 * F.col("rest")
     return both.select(F.col("s").alias("source"), "source_size", "target", "whole", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
+def added(docs: DataFrame) -> dict[str, str]:
+    """The names that ADDED's columns get beside those of docs."""
+    return {name: free(docs, name) for name in ADDED}
+
+
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """All columns of docs and mix_size, mix_source_size, mix_target and mix_copies, how often the mix takes the row."""
+    """All columns of docs and those of ADDED: mix_copies says how often the mix takes the row."""
     prepare(docs.sparkSession)
-    keyed = docs.withColumns({"mix_size": size_of(F.col("text")), "mix_hash": hash_of(F.col("doc_id"))})
-    sized = keyed.select(F.col("source"), F.col("mix_hash").alias("hash"), F.col("mix_size").alias("size"))
-    # Copies of a row count together; what is kept has a row for each source and hash.
-    sized = sized.groupBy("source", "hash").agg(F.sum("size").alias("size")).checkpoint()
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    found = thresholds(sized, goals.checkpoint())
-    salted = found.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("threshold").alias("mix_threshold"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("mix_salt"))
-    joined = keyed.withColumn("mix_salt0", F.pmod(F.col("mix_hash"), F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_salt0") == F.col("mix_salt")))
-    copies = F.col("mix_whole") + F.when(F.col("mix_hash") <= F.col("mix_threshold"), 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("long")).drop("mix_hash", "mix_salt", "mix_salt0", "mix_source", "mix_whole", "mix_threshold")
+    names = docs.columns
+    # All columns of docs go into one, so that no name of theirs is in the way.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+    sized = keyed.select("source", "hash", "size").checkpoint()
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).checkpoint()
+    most_rows = sizes.agg(F.max("n")).first()[0] or 1
+    found = thresholds(sized, targets(sizes.drop("n"), weights, most).checkpoint(), most_rows).withColumnRenamed("source", "s").checkpoint()
+    rows, few, same = by_source(keyed, found, F.col("hash"), most_rows)
+    copies = F.col("whole") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
+    new = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_copies": copies.cast("long")}
+    return rows.join(few, same).select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[new[k].alias(v) for k, v in added(docs).items()])
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

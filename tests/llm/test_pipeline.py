@@ -61,7 +61,7 @@ def test_null_ids_and_repeated_rows_are_copies_too(spark, frame):
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[k for k, _ in corpus_pipeline.STAGES])
 def test_stages_keep_columns_of_any_name(spark, stage):
-    names = ["pii_rk", "pii_more", "pii_spans", "toxicity_score", "text_bytes", "decontamination_rk", "ngram_join_rk", "stays", "copies", "whole", "threshold", "taken"]
+    names = ["pii_rk", "pii_more", "pii_spans", "toxicity_score", "text_bytes", "decontamination_rk", "ngram_join_rk", "stays", "copies", "whole", "threshold", "taken", "mix_hash", "mix_size", "mix_copies", "mix_source", "hash", "size", "row", "s", "salt", "source_size", "target", "prefix"]
     docs = spark.createDataFrame([(1, "mail a@b.com", "e", "s", 12, *names)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
     rows = stage(spark, docs, SF)
     assert len(set(rows.columns)) == len(rows.columns)
