@@ -6,11 +6,14 @@ query names, the documents whose lower-cased text holds it; a rule's candidates
 its query asks for. A rule without mandatory trigrams has no query and scans all texts.
 
 Spans are in code points, end exclusive, leftmost and non-overlapping for each kind. Nulls and odd rows: a null text is
-empty and has no spans; rows with a null doc_id share their postings, as do rows with equal ids, which can only add
-candidates, never spans; repeated rows stay; an empty table gives an empty result; other columns are ignored.
-
-Scale: the postings are summed up by document before they are dealt out, so a frequent trigram makes no hot key; the
-candidates are joined to the texts by doc_id, broadcast only if Spark measures them as small.
+empty and has no spans; rows are indexed by a hash of doc_id and text, so a null doc_id is as good as any, and rows that
+share a hash can only be each other's candidates, never have each other's spans; repeated rows stay; an empty table gives
+an empty result; other columns are ignored.
+
+Scale: a row's postings are one entry, so a frequent trigram makes no hot key and the index is as long as the rows that
+hold some named trigram. The candidates that the index proposes are measured. Up to MOST_BROADCAST bytes they are
+broadcast to the texts; beyond that the same query is asked of each text's own postings, beside the text. Either way no
+text is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import prepare, read
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,8 @@ RULES = BASE + MORE
 Clause = frozenset[frozenset[str]]
 
 _MOST_STRINGS, _MOST_CLASS = 128, 16
+MOST_BROADCAST = 16 << 20
+_SPANS = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
 def _strings(node: tuple) -> set[str] | None:
@@ -132,51 +137,78 @@ def query(regex: str) -> list[Clause]:
     return list(dict.fromkeys(_clauses(rp.parse(regex))))
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Postings: trigram, doc_id, for the trigrams that the rules' queries name."""
+def held_in(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """A text's postings: those trigrams that it holds in lower case, of all that the rules' queries name."""
     names = sorted({t for r in rules for c in query(r.regex) for some in c for t in some})
-    folded = docs.select("doc_id", F.lower("text").alias("folded"))
-    held = F.filter(F.array(*map(F.lit, names)), lambda t: F.contains(F.col("folded"), t))
-    return folded.select("doc_id", F.explode(held).alias("trigram"))
+    return let(F.lower(text), lambda folded: F.filter(F.array(*map(F.lit, names)), lambda t: F.contains(folded, t)))
 
 
-def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and the kinds of rules whose queries the document's postings satisfy."""
+def kinds_of(held: Column, rules: tuple[Rule, ...]) -> Column:
+    """The kinds of rules whose queries a row's postings satisfy."""
     def holds(clause: Clause) -> Column:
-        options = [F.size(F.array_except(F.array(*map(F.lit, sorted(some))), F.col("held"))) == 0 for some in sorted(clause, key=sorted)]
+        options = [F.size(F.array_except(F.array(*map(F.lit, sorted(some))), held)) == 0 for some in sorted(clause, key=sorted)]
         out = options[0]
         for x in options[1:]:
             out = out | x
         return out
 
-    kinds = []
+    kinds = [F.lit(None).cast("string")]
     for rule in rules:
         if clauses := query(rule.regex):
             both = holds(clauses[0])
             for c in clauses[1:]:
                 both = both & holds(c)
             kinds.append(F.when(both, F.lit(rule.kind)))
-    found = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-    return found.select("doc_id", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    return F.array_compact(F.array(*kinds))
+
+
+def index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rk and held, the postings of the rows that have any. rk is a hash of doc_id and text."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), held_in(F.col("text"), rules).alias("held"))
+    return rows.where(F.size("held") > 0)
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rk and the kinds of rules whose queries the postings satisfy, of rows with any."""
+    return postings.select("rk", kinds_of(F.col("held"), rules).alias("kinds")).where(F.size("kinds") > 0)
+
+
+def let(value: Column, use: object) -> Column:
+    """use(value), where the value is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Matches as (start, rank, end, kind): what splitting by the expression leaves gives the places between."""
+    """Matches as (start, rank, end, kind): what splitting by the expression leaves gives the places between.
+
+    n matches are placed in blocks of sqrt(n), each from where it begins, so no array of all of them grows one by one.
+    """
     # A maximal run is the only match it begins, so short ones needn't be split off one by one.
     regex = re_least(rule)
     pieces, whole = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
-    kind = "array<struct<start:long,rank:int,end:long,kind:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
+    cuts = let(whole, lambda w: F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(w)), F.length).alias("piece"), F.transform(w, F.length).alias("whole"), long_enough.alias("ok")))
+
+    def place(block: Column, at: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            begin = state["at"] + x["piece"]
+            end = begin + x["whole"]
+            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            return F.struct(end.alias("at"), F.when(x["ok"], F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("found")), step, lambda s: s["found"])
+
+    def begins(blocks: Column) -> Column:
+        length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["piece"] + x["whole"])
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("found"))
+        return F.aggregate(blocks, start, lambda s, block: F.struct((s["at"] + length(block)).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")), lambda s: s["found"])
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["piece"])
-        end = begin + F.length(x["whole"])
-        span = F.struct(begin.cast("long").alias("start"), F.lit(rank).alias("rank"), end.cast("long").alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.cast("long").alias("at"), F.when(x["ok"], F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+    def placed(c: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(c))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(c) / side).cast("int") - 1), lambda b: F.slice(c, b * side + 1, side))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, begins(bs), place)))
 
-    cuts = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), long_enough.alias("ok"))
-    return F.when(F.size(pieces) > 1, F.aggregate(cuts, start, step, lambda s: s["found"])).otherwise(F.array().cast(kind))
+    return F.when(F.regexp_like(text, F.lit(regex)), let(cuts, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def re_least(rule: Rule) -> str:
@@ -193,15 +225,18 @@ def listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and, for each rule, an array of its spans in a column of the kind's name."""
+    prepare(docs.sparkSession)
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(index(narrow, rules), rules).select(F.col("doc_id").alias("id"), "kinds")
-    both = narrow.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
+    found = candidates(index(narrow, rules), rules).groupBy("rk").agg(F.first("kinds").alias("kinds")).checkpoint()
+    if (found.agg(F.sum(F.octet_length(F.array_join("kinds", " ")) + 64)).first()[0] or 0) <= MOST_BROADCAST:
+        both = narrow.withColumn("own", F.xxhash64("doc_id", "text")).join(F.broadcast(found), F.col("own") == F.col("rk"), "left")
+    else:
+        both = narrow.withColumn("kinds", kinds_of(held_in(F.col("text"), rules), rules))
     columns = []
     for rank, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, rank)
         if query(rule.regex):
-            spans = F.when(F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), rule.kind), spans).otherwise(none)
+            spans = F.when(F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), rule.kind), spans).otherwise(F.array().cast(_SPANS))
         columns.append(spans.alias(rule.kind))
     return both.select("doc_id", *columns)
 
