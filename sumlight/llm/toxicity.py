@@ -6,8 +6,9 @@ learning rate; the L1 term keeps most weights at zero, so the weights that remai
 bounded by the number of places, whatever the size of the corpus: they are broadcast as two arrays.
 
 Learning: labelled rows outside the held-out fifth, at most MOST_ROWS of them and MOST_CHARS characters, those with the
-least hash of doc_id; this is the documented bound of the sample. A text that doesn't fit into the rest of the characters
-is passed over, and if none fits, that is an error. Scoring covers every whole text.
+least hash of doc_id; this is the documented bound of the sample. Of several documents with a labelled id, the one whose
+text has the least hash is learned from. A text that doesn't fit into the rest of the characters is passed over, and if
+none fits, that is an error. Scoring covers every whole text.
 
 Nulls and odd rows: a null or empty text has the bias alone as its score; labels that are null or without a document
 are left out; of several labels for one id the largest counts; a null doc_id is scored as any other. With no usable
@@ -93,22 +94,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     usable = usable.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
     sample = usable.withColumn("order", F.xxhash64(F.col("doc_id").cast("long"))).orderBy("order", "doc_id").limit(most_rows)
     # At most most_rows narrow rows, so this side may be broadcast at any size of the corpus.
-    joined = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").select("order", "label", "text")
-    sizes = joined.select("order", F.octet_length("text").alias("size")).groupBy("order").agg(F.max("size").alias("size"))
-    held = sorted(tuple(r) for r in sizes.collect())  # one row for each row of the sample
+    joined = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").select("order", "label", "text", F.xxhash64("text").alias("hash"))
+    sizes = joined.groupBy("order").agg(F.min(F.struct("hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("one"))
+    held = sorted((r.order, r.one["hash"], r.one["size"]) for r in sizes.collect())  # one row for each row of the sample
     if not held:
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
-    left, over = most_chars, []
-    for order, size in held:
-        if (size or 0) <= left:
-            left -= size or 0
-        else:
-            over.append(order)
-    if len(over) == len(held):
+    left, fit = most_chars, []
+    for order, one, size in held:
+        if size <= left:
+            left -= size
+            fit.append((order, one))
+    if not fit:
         raise ValueError(f"none of the {len(held)} labelled texts has at most {most_chars} characters")
-    rows = joined.where(~F.col("order").isin(over)).mapInArrow(_featurise, "order long, label int, places binary").collect()
-    rows.sort(key=lambda r: (r["order"], bytes(r["places"])))
-    return learn([(np.frombuffer(r["places"], np.int32), r["label"]) for r in rows])
+    # Equal rows become one before anything is collected, so that is most_rows rows at most.
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(fit, "order long, hash long"))
+    rows = joined.join(chosen, ["order", "hash"]).select("order", "label", "text").mapInArrow(_featurise, "order long, label int, places binary").groupBy("order").agg(F.min(F.struct("label", "places")).alias("one")).collect()
+    return learn([(np.frombuffer(r.one["places"], np.int32), r.one["label"]) for r in sorted(rows, key=lambda r: r.order)])
 
 
 def score(docs: DataFrame, weights: Weights, *keep: str, into: str = "score") -> DataFrame:
