@@ -189,6 +189,26 @@ def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[at]]), order[at:end]
 
 
+#: Bytes of packed rows that go into one Arrow batch, or a little more.
+BATCH = 2 << 20
+
+
+def batched(rows: Iterable[tuple], fields: list[str], types: list[pa.DataType], limit: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Rows of numbers and bytes, in batches of about so many bytes."""
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], fields)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= limit:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Top bits deal keys out; the low 48 bits then tell apart the keys of a part."""
     return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, WordHashes, by_part, chunks, crc_of, documents, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
+from .common import Chunk, WordHashes, batched, by_part, chunks, crc_of, documents, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 #: Training documents have crc32(doc_id) % FOLDS != HELD.
 FOLDS, HELD = 7, 2
@@ -125,33 +125,16 @@ _FIELDS = ["part", "kind", "first", "second", "counts", "kept", "docs", "rks"]
 _TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
 
-#: Bytes of packed rows that go into one Arrow batch, or a little more.
-BATCH = 2 << 20
-
-
 def _row_of(part: int, kind: int, first: bytes, second: bytes | None, counts: bytes | None, kept: bytes | None, docs: bytes | None = None, rks: bytes | None = None) -> tuple:
     return part, kind, first, second, counts, kept, docs, rks
 
 
 def _rows(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of about BATCH bytes."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += 64 + sum(len(x) for x in row[2:] if x is not None)
-        if size >= BATCH:
-            yield _batch(held)
-            held, size = [], 0
-    if held:
-        yield _batch(held)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES, strict=True)], _FIELDS)
+    return batched(rows, _FIELDS, _TYPES)
 
 
 def _row(*values: object) -> pa.RecordBatch:
-    return _batch([values])
+    return next(_rows([values]))
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:

@@ -1,4 +1,4 @@
-"""Substring dedup: difference-cover anchors propose repeated windows, and hashes of the whole windows settle them.
+"""Substring dedup: difference-cover anchors propose repeated windows, and 96-bit hashes of these settle them.
 
 A window is SPAN = 13 words in a row, unchanged. A word goes if some window over it also starts in a document with a
 smaller doc_id; windows are judged on the input.
@@ -7,13 +7,14 @@ Positions 0, 1 and 3 modulo 7 are a difference cover: for any two positions ther
 into it. So two equal windows, wherever they begin in their documents, hold an equal run of SPAN - 6 = 7 words that
 begins at a cover position in both. Only these anchors, three in seven positions, are hashed and dealt out. An anchor
 that occurs in two documents is then extended: the windows around it are hashed whole, and for each window the least
-doc_id that has it decides. Words are compared by 64-bit hashes of them, windows by 64-bit hashes of those.
+doc_id that has it decides. Words are compared by 64-bit hashes of them, windows by 96-bit hashes of those: of 2e13
+windows, those of 100 TB of text, some two that differ would have one hash with a probability of 0.003.
 
 Nulls and odd rows: a null or empty text has no words; texts under 13 words have no window and stay whole. A null
 doc_id counts as the largest. Rows with one doc_id are one document's: they don't remove each other's words. Repeated
 rows stay, with equal values. An empty table gives an empty result. Other columns are ignored.
 
-Scale: what is dealt out by hash is packed, 7 or 9 bytes an entry, and a task sends each hash once for each of its
+Scale: what is dealt out by hash is packed, 7 or 13 bytes an entry, and a task sends each hash once for each of its
 chunks of documents, from the chunk's least document: the others of the chunk are settled there. So a passage in a
 third of all documents reaches a partition once a chunk, not once a document. Partitions grow in number with the
 words. Flags return to documents by row key. The texts are dealt out by that key once, for both of the joins.
@@ -29,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, WordHashes, by_part, chunks, documents, grams, groups, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
+from .common import Chunk, WordHashes, batched, by_part, chunks, documents, grams, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 SPAN = 13
 PERIOD = 7
 COVER = np.array([True, True, False, True, False, False, False])
 ANCHOR = SPAN - PERIOD + 1
-#: Bytes of a hash that are sent: anchors only propose, windows decide.
-ANCHOR_BYTES, WINDOW_BYTES = 6, 8
+#: Bytes of a hash that are sent: anchors only propose, windows decide. What is beyond 8 bytes is of a second hash.
+ANCHOR_BYTES, WINDOW_BYTES = 6, 12
+SECOND = np.uint64(0x9FB21C651E98DF25)
 #: Entries that a partition holds.
 PER_PART = 8_000_000
 
@@ -45,61 +47,81 @@ _FIELDS = ["part", "width", "keys", "gaps", "starts", "rks", "ids"]
 _TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
 
 
-def _runs(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of n words that lie within a document, and where in the chunk they begin."""
-    hashes = grams(chunk.tokens, n)
-    left = np.repeat(chunk.starts[1:], chunk.lengths())[: len(hashes)] - np.arange(len(hashes))
-    at = np.flatnonzero(left >= n)
-    return hashes[at], at
+def _places(chunk: Chunk, n: int) -> np.ndarray:
+    """Where in the chunk runs of n words begin that lie within a document."""
+    left = np.repeat(chunk.starts[1:], chunk.lengths())[: max(0, len(chunk.tokens) - n + 1)]
+    return np.flatnonzero(left - np.arange(len(left)) >= n)
 
 
-def _anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = _runs(chunk, ANCHOR)
+def _anchors(chunk: Chunk) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the anchors, and where they begin."""
+    at = _places(chunk, ANCHOR)
     inside = at - np.repeat(chunk.starts[:-1], chunk.lengths())[at]
     long = np.repeat(chunk.lengths() >= SPAN, chunk.lengths())[at]
-    use = COVER[inside % PERIOD] & long
-    return keys[use], at[use]
-
-
-def _windows(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """The windows that hold a flagged anchor."""
-    near = np.zeros(len(chunk.tokens) + 1, np.int64)
-    for d, bodies in enumerate(chunk.extra):
-        for body in bodies or ():
-            at = unpack_gaps(body) + chunk.starts[d]
-            np.add.at(near, np.maximum(at - (PERIOD - 1), chunk.starts[d]), 1)
-            np.add.at(near, at + 1, -1)
-    near = np.cumsum(near)[:-1] > 0
-    keys, at = _runs(chunk, SPAN)
-    use = near[at]
-    return keys[use], at[use]
-
-
-def _by_least(ids: np.ndarray) -> np.ndarray:
-    """Places of documents when put in order of their ids."""
-    return np.argsort(ids, kind="stable")
-
-
-def _settle(keys: np.ndarray, ids: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray]:
+    at = at[COVER[inside % PERIOD] & long]
+    return [grams(chunk.tokens, ANCHOR)[at]], at
+
+
+def _within(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of so many places lie in one of the ranges."""
+    return np.cumsum(np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] > 0
+
+
+def _windows(chunk: Chunk) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both hashes of the windows that hold a flagged anchor, and where they begin."""
+    found = [(unpack_gaps(body) + chunk.starts[d], chunk.starts[d]) for d, bodies in enumerate(chunk.extra) for body in bodies or ()]
+    at = _places(chunk, SPAN)
+    if not found:
+        return [np.zeros(0, np.uint64)] * 2, at[:0]
+    anchors = np.concatenate([a for a, _ in found])
+    first = np.repeat([b for _, b in found], [len(a) for a, _ in found])
+    at = at[_within(len(chunk.tokens), np.maximum(anchors - (PERIOD - 1), first), anchors + 1)[at]]
+    return [grams(chunk.tokens, SPAN)[at], grams(mix(chunk.tokens ^ SECOND), SPAN)[at]], at
+
+
+def _alike(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings together entries whose hashes all agree, and where each group begins in it."""
+    order, begin = groups(keys[0])
+    new = np.zeros(len(order), bool)
+    new[begin] = True
+    for more in keys[1:]:
+        if len(order) and np.any((more[order][1:] != more[order][:-1]) & ~new[1:]):
+            order = np.lexsort(keys[::-1])
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+            break
+    return order, np.flatnonzero(new)
+
+
+def _settle(keys: list[np.ndarray], ids: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each entry: whether its key is flagged among these, and whether its id is the least that has the key.
 
     shared: a key in two documents is flagged in both; else it is flagged in those that aren't the least.
     """
-    order, begin = groups(keys)
-    if not len(keys):
+    if not len(ids):
         return np.zeros(0, bool), np.zeros(0, bool)
-    size = np.diff(np.append(begin, len(keys)))
+    order, begin = _alike(keys)
+    size = np.diff(np.append(begin, len(ids)))
     least = np.repeat(np.minimum.reduceat(ids[order], begin), size)
     if shared:
         most = np.repeat(np.maximum.reduceat(ids[order], begin), size)
         flagged = most > least
     else:
         flagged = ids[order] > least
-    out, first = np.empty(len(keys), bool), np.empty(len(keys), bool)
+    out, first = np.empty(len(ids), bool), np.empty(len(ids), bool)
     out[order], first[order] = flagged, ids[order] == least
     return out, first
 
 
+def _packed(keys: list[np.ndarray], at: np.ndarray, width: int) -> bytes:
+    return b"".join(narrow(k[at], min(8, width - 8 * i)) for i, k in enumerate(keys))
+
+
+def _unpacked(data: bytes, width: int) -> list[np.ndarray]:
+    n = len(data) // width
+    return [widen(data[8 * i * n : min(8 * i + 8, width) * n], min(8, width - 8 * i)) for i in range(-(-width // 8))]
+
+
 def _rows(chunk: Chunk, at: np.ndarray, part: int, width: int, keys: bytes) -> tuple:
     """Entries of a chunk as a row: documents that have none are left out."""
     held = np.searchsorted(chunk.starts, at, side="right") - 1
@@ -110,24 +132,24 @@ def _rows(chunk: Chunk, at: np.ndarray, part: int, width: int, keys: bytes) -> t
     return part, width, keys, pack_gaps(inside + np.repeat(base[:-1], count)), base.astype("<i8").tobytes(), chunk.rk[docs].astype("<i8").tobytes(), chunk.ids[docs].astype("<i8").tobytes()
 
 
-def _send(entries: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], dealt: np.ndarray, width: int, shared: bool, extra: str | None) -> Callable:
+def _send(entries: Callable[[Chunk], tuple[list[np.ndarray], np.ndarray]], dealt: np.ndarray, width: int, shared: bool, extra: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts = WordHashes(), len(dealt)
-        turn = 0
-        for chunk in chunks(batches, lambda text: known.of(text.split()), extra=extra):
-            keys, at = entries(chunk)
-            owner = np.searchsorted(chunk.starts, at, side="right") - 1
-            flagged, least = _settle(keys, chunk.ids[owner], shared)
-            rows = []
-            here = np.flatnonzero(flagged)
-            if len(here):  # settled in the chunk: on its way back it passes some partition
-                turn += 1
-                rows.append(_rows(chunk, at[here], int(dealt[(int(chunk.rk[0]) + turn) % parts]), 0, b""))
-            sent = np.flatnonzero(least)
-            for part, some in by_part(parts_of(keys[sent], parts), parts):
-                rows.append(_rows(chunk, at[sent[some]], int(dealt[part]), width, narrow(keys[sent[some]], width)))
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _TYPES, strict=True)], _FIELDS)
+
+        def rows() -> Iterator[tuple]:
+            for turn, chunk in enumerate(chunks(batches, lambda text: known.of(text.split()), extra=extra)):
+                keys, at = entries(chunk)
+                keys = [k & np.uint64((1 << 8 * min(8, width - 8 * i)) - 1) if i else k for i, k in enumerate(keys)]
+                owner = np.searchsorted(chunk.starts, at, side="right") - 1
+                flagged, least = _settle(keys, chunk.ids[owner], shared)
+                here = np.flatnonzero(flagged)
+                if len(here):  # settled in the chunk: on its way back it passes some partition
+                    yield _rows(chunk, at[here], int(dealt[(int(chunk.rk[0]) + turn) % parts]), 0, b"")
+                sent = np.flatnonzero(least)
+                for part, some in by_part(parts_of(keys[0][sent], parts), parts):
+                    yield _rows(chunk, at[sent[some]], int(dealt[part]), width, _packed(keys, sent[some], width))
+
+        return batched(rows(), _FIELDS, _TYPES)
 
     return run
 
@@ -155,13 +177,13 @@ def _answer(shared: bool) -> Callable:
         for row in asked:
             by_width.setdefault(row["part"], []).append(row)
         for some in by_width.values():
-            keys = [widen(r["keys"], r["width"]) for r in some]
+            keys = [_unpacked(r["keys"], r["width"]) for r in some]
             ids = []
             for r in some:
                 base = np.frombuffer(r["starts"], "<i8")
                 ids.append(np.frombuffer(r["ids"], "<i8")[np.searchsorted(base, unpack_gaps(r["gaps"]), side="right") - 1])
-            flagged, _ = _settle(np.concatenate(keys), np.concatenate(ids), shared)
-            for r, use in zip(some, np.split(flagged, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            flagged, _ = _settle([np.concatenate(k) for k in zip(*keys)], np.concatenate(ids), shared)
+            for r, use in zip(some, np.split(flagged, np.cumsum([len(k[0]) for k in keys])[:-1]), strict=True):
                 if use.any():
                     yield flags(r, use)
 
@@ -190,12 +212,8 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def covered(n: int, bodies: list[bytes] | None) -> np.ndarray:
     """Which of n words lie in the windows."""
-    ends = np.zeros(n + 1, np.int64)
-    for body in bodies or ():
-        at = unpack_gaps(body)
-        np.add.at(ends, at, 1)
-        np.add.at(ends, at + SPAN, -1)
-    return np.cumsum(ends)[:-1] > 0
+    at = np.concatenate([unpack_gaps(body) for body in bodies]) if bodies else np.zeros(0, np.int64)
+    return _within(n, at, at + SPAN)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
