@@ -243,6 +243,38 @@ def test_quality(spark, frame, odd_rows):
     assert share(1) > 0.95 and share(0) < 0.3
 
 
+def test_importance_equals_the_plain_models(spark, frame, odd_rows):
+    """Counts of words, runs of punctuation and pairs, hashed; log ratio of both models, each smoothed by the raw one."""
+    rows = [*odd_rows[:7], *((100 + i, f"the fox no. {i % 9} jumps; over (the) dog {i}!", "a") for i in range(40))]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(100, 120)], "doc_id long, quality int")
+    known, size = common.WordHashes(), 1 << quality.BITS
+
+    def places(text):
+        h = [int(known[w]) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+", (text or "").encode())]
+        both = h + [(a * int(common.ODD) + b) % 2**64 for a, b in zip(h, h[1:])]
+        return [int(common.mix(np.array([x], np.uint64))[0]) >> (64 - quality.BITS) for x in both]
+
+    raw, target = Counter(), Counter()
+    for i, text, _ in rows:
+        raw.update(places(text))
+        if i is not None and 100 <= i < 120 and i % 3:
+            target.update(places(text))
+    n_raw, n_target = raw.total(), target.total()
+    prior = lambda x: (raw[x] + 1) / (n_raw + size)
+    want = Counter({(i, t): sum(math.log((target[x] + size * prior(x)) / (n_target + size) / prior(x)) for x in places(t)) for i, t, _ in rows})
+    got = quality.resample(frame(rows), labels, share=1.0).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.importance for r in got) == pytest.approx(sorted(want[i, t] for i, t, _ in rows))
+
+
+def test_quality_on_labels_that_were_not_learned_from(spark):
+    docs, marks = (common.read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    held = {r.doc_id for r in quality.resample(docs, marks.where("doc_id % 3 <> 0")).collect()}
+    rest = marks.where("doc_id % 3 = 0").collect()
+    share = lambda q: np.mean([r.doc_id in held for r in rest if r.quality == q])
+    assert share(1) > 0.9 and share(0) < 0.4
+
+
 def test_quality_share_is_of_all_labels(spark, frame, monkeypatch):
     """The bound of the learning sample isn't one of the labels that the number of rows follows from."""
     monkeypatch.setattr(quality, "MOST_ROWS", 1)
@@ -269,6 +301,45 @@ def test_toxicity(spark, frame, odd_rows):
     assert all(f.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, f in found.items())
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal by coordinate, as published; the last place is the bias, without l1."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (math.copysign(l1, z[i]) if i != "bias" else 0.0)) / ((beta + math.sqrt(n[i])) / alpha + (l2 if i != "bias" else 0.0))
+
+    for _ in range(epochs):
+        for places, label in rows:
+            own = [*places.tolist(), "bias"]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in own:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_the_plain_recursion():
+    rng = np.random.default_rng(11)
+    rows = [(np.unique(rng.zipf(1.3, 30) % 500).astype(np.int32), int(rng.integers(2))) for _ in range(60)]
+    rows += [(np.unique(np.append(p, 501)), 1) for p, _ in rows[:20]]
+    got = toxicity.learn(rows, alpha=0.5, beta=1.0, l1=0.7, l2=0.1, epochs=3)
+    want = plain_ftrl(rows, 0.5, 1.0, 0.7, 0.1, 3)
+    assert got.bias == pytest.approx(want.pop("bias"))
+    assert dict(zip(got.places.tolist(), got.values.tolist())) == pytest.approx(want, rel=1e-5)
+
+
+def test_toxicity_learns_once_from_a_repeated_id(spark, frame):
+    order = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    one = [(i, f"{'vile' if i % 2 else 'kind'} words {i}", "a") for i in order]
+    labels = spark.createDataFrame([(i, i % 2) for i in order], "doc_id long, toxic int")
+    a, b = toxicity.train(frame(one), labels), toxicity.train(frame([*one, *one, *one[:3] * 50]), labels)
+    assert a.bias == b.bias and a.places.tolist() == b.places.tolist() and a.values.tolist() == b.values.tolist() and len(a.places)
+
+
 def test_toxicity_passes_over_a_text_that_does_not_fit(spark, frame):
     order = [r.id for r in spark.sql("select id from range(60) where crc32(cast(cast(id as string) as binary)) % 5 != 0 order by xxhash64(id)").collect()]
     docs = frame([(i, ("vile " if k % 2 else "kind ") + "words " * (500 if k in (0, 9) else 1), "a") for k, i in enumerate(order)])
@@ -393,6 +464,13 @@ def test_substring_dedup(frame, odd_rows, chunk):
     assert got == brute_removed(rows)
 
 
+def test_windows_that_share_a_first_hash_are_told_apart():
+    keys, ids = [np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64)], np.array([9, 3, 4, 8])
+    flagged, least = substrings._settle(keys, ids, shared=False)
+    assert flagged.tolist() == [True, False, False, False] and least.tolist() == [False, True, True, True]
+    assert [k.tolist() for k in substrings._unpacked(substrings._packed(keys, np.arange(4), 12), 12)] == [k.tolist() for k in keys]
+
+
 def test_difference_cover_meets_everywhere():
     cover = set(np.flatnonzero(substrings.COVER).tolist())
     p = substrings.PERIOD
