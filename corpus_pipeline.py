@@ -31,8 +31,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; n_chars follows the text."""
-    new = pii.replace(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, with surrogates for personal data; n_chars follows the text. The key: see pii.configured."""
+    new = pii.replace(docs, pii.configured(spark)).withColumn("n_chars", F.length("text").cast("long"))
     return new.select(docs.columns)
 
 

@@ -14,7 +14,7 @@ import pytest
 
 from sumlight.llm import common, decontamination, media, mixing, ngram_join, pii, quality, queries, scoring, secrets, substrings, toxicity
 
-SF = "/root/testdata/sf0.001"
+SF, KEY = "/root/testdata/sf0.001", b"a key of the tests"
 
 
 def rows_of(df, key="doc_id"):
@@ -36,7 +36,7 @@ def test_empty_tables(spark, frame):
     none = frame([])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
-    for df in (ngram_join.join(none), scoring.score(none), secrets.summary(none), decontamination.decontaminate(none, items), quality.resample(none, labels), toxicity.flag(none, labels), media.digests(none), mixing.mix(none), substrings.dedup(none), pii.replace(none)):
+    for df in (ngram_join.join(none), scoring.score(none), secrets.summary(none), decontamination.decontaminate(none, items), quality.resample(none, labels), toxicity.flag(none, labels), media.digests(none), mixing.mix(none), substrings.dedup(none), pii.replace(none, KEY)):
         assert df.collect() == []
 
 
@@ -480,7 +480,7 @@ def test_difference_cover_meets_everywhere():
 def test_pii_keeps_formats_and_coreference(frame, odd_rows):
     a = "Mail bob.12@mail3.example.com or BOB.12@mail3.example.com, call +1 (017) 555-7713 or +1 017 555 7713."
     b = "Card 4111 1111 1111 1111, server 10.0.0.7, Frau Anna Müller and Mr. John Smith; ssn 123-45-6789. bob.12@mail3.example.com"
-    df = pii.replace(frame([*odd_rows, (70, a, "a"), (71, b, "a")]))
+    df = pii.replace(frame([*odd_rows, (70, a, "a"), (71, b, "a")]), KEY)
     assert df.columns[:12] == frame([]).columns
     rows = {r.doc_id: r for r in df.collect()}
     assert rows[3].text is None and rows[1].text == odd_rows[0][1] and rows[3].pii_spans == ""
@@ -501,7 +501,7 @@ def test_pii_keeps_formats_and_coreference(frame, odd_rows):
 def test_pii_finds_mentions_without_a_title(frame):
     a = "Mr. John Smith called. John Smith paid, then Smith and JOHN SMITH left; Smithson and Blacksmith stayed. Smith's car."
     b = "Yesterday Anna Maria Müller met Олег Смирнов. Müller wrote to Dr. Zorgon; Zorgon didn't answer. Annabel and Anna went."
-    rows = {r.doc_id: r for r in pii.replace(frame([(1, a, "a"), (2, b, "a"), (3, "So said John Smith.", "a"), (4, "Zorgon and Smith, Anna alone", "a")])).collect()}
+    rows = {r.doc_id: r for r in pii.replace(frame([(1, a, "a"), (2, b, "a"), (3, "So said John Smith.", "a"), (4, "Zorgon and Smith, Anna alone", "a")]), KEY).collect()}
     new = rows[1].text
     given, last = re.match(r"Mr\. (\w+) (\w+) called", new).groups()
     assert new == f"Mr. {given} {last} called. {given} {last} paid, then {last} and {given.upper()} {last.upper()} left; Smithson and Blacksmith stayed. {last}'s car."
@@ -527,6 +527,60 @@ def test_pii_collisions_are_resolved(spark):
     """All names of one gender are in use: each first surrogate is some real entity."""
     names = pii.NAMES["f", "greek"]
     entities = spark.createDataFrame([("name", n) for n in names], "kind string, canon string")
-    tried = {r.canon: r.attempt for r in pii.attempts(entities).collect()}
-    new = {pii.surrogate("name", n, tried.get(n, 0)) for n in names}
+    tried = {r.canon: r.attempt for r in pii.attempts(entities, KEY).collect()}
+    new = {pii.surrogate("name", n, tried.get(n, 0), KEY) for n in names}
     assert len(new) == len(names) and not new & set(names) and tried
+
+
+PII_LABELLED = [
+    ("Kate Smith wrote.", ["Kate Smith"]), ("Call 555 123 4567 now", ["555 123 4567"]), ("Call 5551234567.", ["5551234567"]), ("or 1-555-123-4567!", ["1-555-123-4567"]), ("+44 20 7946 0958", ["+44 20 7946 0958"]),
+    ("pay DE89 3704 0044 0532 0130 00 today", ["DE89 3704 0044 0532 0130 00"]), ("GB82WEST12345698765432", ["GB82WEST12345698765432"]), ("not GB83WEST12345698765432", []), ("at 2001:db8::8a2e:370:7334, up", ["2001:db8::8a2e:370:7334"]),
+    ("fe80:0000:0000:0000:0202:b3ff:fe1e:8329", ["fe80:0000:0000:0000:0202:b3ff:fe1e:8329"]), ("at 12:30:45 sharp", []), ("std::vector and a::b", []), ("müller@straße.de!", ["müller@straße.de"]), ("x@пример.рф", ["x@пример.рф"]),
+    ("in 1700000000 seconds", []), ("order 12345678901 is 3.14159265358", []), ("The Kate and Smith", []), ("ratio 16:9:4", []), ("Mr Quick ran.", ["Quick"]), ("version 10.2.3", []), ("f(x)::y 1::2", ["1::2"]),
+]
+
+
+def test_pii_precision_and_recall_on_labelled_texts():
+    assert [(t, [t[a:b] for a, b, _ in pii.found(t)]) for t, _ in PII_LABELLED] == PII_LABELLED
+
+
+def test_pii_gender_follows_the_title_and_numbers_are_one(frame):
+    texts = ["Mr Bartholomew Quick", "Mrs Bartholomew Quick", "Dr Bartholomew Quick", "Mr Quick", "+1-555-123-4567 or 555-123-4567, 5551234567", "Frau Ольгица Смирнова", "GB82 WEST 1234 5698 7654 32 GB82WEST12345698765432", "2001:DB8::1 2001:0db8:0000:0000:0000:0000:0000:0001"]
+    got = [r.text for r in sorted(pii.replace(frame([(i, t, "a") for i, t in enumerate(texts)]), KEY).collect(), key=lambda r: r.doc_id)]
+    him, her, doctor, alone = (t.split(" ")[1:] for t in got[:4])
+    assert him[0] in pii.NAMES["m", "latin"] and her[0] in pii.NAMES["f", "latin"] and doctor[0] not in pii._LISTED
+    assert him[1] == her[1] == doctor[1] == alone[0] != "Quick"
+    digits = [re.sub(r"\D", "", n)[-10:] for n in re.split(" or |, ", got[4])]
+    assert len(set(digits)) == 1 and got[4].startswith("+1-") and digits[0] != "5551234567"
+    assert got[5].split(" ")[1] in pii.NAMES["f", "cyrillic"]
+    one, two = got[6][:27], got[6][28:]
+    assert one.replace(" ", "") == two != "GB82WEST12345698765432" and two[:2] == "GB" and pii._iban_rest(two) == 1
+    one, two = got[7].split(" ")
+    assert pii.ipaddress.ip_address(one) == pii.ipaddress.ip_address(two) != pii.ipaddress.ip_address("2001:db8::1") and one == one.upper()
+
+
+def test_pii_equals_a_plain_replacement(frame, odd_rows):
+    """Every row, from its entities' surrogates alone."""
+    rows = [*odd_rows[:7], *((200 + i, f"Ms Anna B{'aeiou'[i % 5]}rk, u{i % 9}@ex.org, 10.0.{i}.1 and 555-01{i % 4}-{1000 + i}", "a") for i in range(40))]
+    canons = {(k, c) for _, t, _ in rows for _, _, k, c, _ in pii.mentions(t or "")}
+    new = {x: pii.surrogate(*x, 0, KEY) for x in canons}
+    assert len(set(new.values())) == len(new) and not set(new.values()) & {c for _, c in canons}
+
+    def plain(text):
+        for a, b, k, c, part in reversed(pii.mentions(text)):
+            text = text[:a] + pii.formatted(k, text[a:b], new[k, c] if part is None else new[k, c].split(" ")[part]) + text[b:]
+        return text
+
+    got = Counter((r.doc_id, r.text) for r in pii.replace(frame(rows), KEY).collect())
+    assert got == Counter((i, t if t is None else plain(t)) for i, t, _ in rows)
+
+
+def test_pii_key_is_the_sessions(spark, frame):
+    with pytest.raises(ValueError, match="key"):
+        pii.replace(frame([]), b"")
+    assert pii.configured(spark) != pii.configured(spark)
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        assert pii.configured(spark) == pii.configured(spark)
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
