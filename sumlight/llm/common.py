@@ -221,20 +221,42 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+#: A key with more than this share of the rows, as a power of two, is heavy: there are 2**HEAVY of them at most.
+HEAVY = 10
+
+
+def join_spread(rows: DataFrame, table: DataFrame, *keys: str, total: int | None = None) -> DataFrame:
+    """rows joined with a table that has one row for each value of the keys, so that no key's rows come together.
+
+    The table's rows for heavy keys, 2**HEAVY at most, are broadcast; the others are joined as Spark chooses. rows is read
+    several times, so it should be cheap to read. total: the number of rows, or a little more, if it is known.
+    """
+    total = rows.count() if total is None else total
+    found = rows.groupBy(*keys).count().where(F.col("count") > (total >> HEAVY)).select(*keys)
+    heavy = found.collect()  # 2**HEAVY at most
+    if not heavy:
+        return rows.join(table, list(keys))
+    named = F.broadcast(rows.sparkSession.createDataFrame(heavy, found.schema))
+    few = F.broadcast(table.join(named, list(keys), "left_semi"))
+    rest = rows.join(named, list(keys), "left_anti")
+    return rows.join(few, list(keys)).unionByName(rest.join(table, list(keys)))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
     """node, component (smallest node reachable) for the nodes of undirected edges.
 
-    Large-star and small-star rounds, each an aggregation by node with partial sums first; a hub is never gathered.
-    The edges are cut off from their lineage by checkpoint() in each round.
+    Large-star and small-star rounds: a node's least neighbour is found by an aggregation with partial sums first, and
+    meets the node's edges by join_spread, so a hub's edges are never gathered. The edges are cut off from their lineage by
+    checkpoint() in each round. The number of rounds grows with the logarithm of the nodes, squared at worst.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct().checkpoint()
-    mark = None
+    mark = now.count(), None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_spread(both, least, "u", total=2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).checkpoint()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("u > m")
+        small = join_spread(large, least, "u", total=2 * mark[0]).where("u > m")
         now = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct().checkpoint()
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:

@@ -3,30 +3,39 @@
 Two documents link when the Jaccard similarity of their sets of n-word shingles reaches a threshold; classes are what
 links connect. A text with fewer than n words, but some, has its whole sequence as its one shingle.
 
-Index. The range of shingle hashes is cut into m positions, m growing with the set's size, and a set's shingles at a
-position form one key of the index. Sets that link differ in at most d = (1 - t) / (1 + t) * (|A| + |B|) shingles, so
+Neighbourhoods. The range of shingle hashes is cut into m positions, m growing with the set's size, and a set's shingles
+at a position form one key of the index. Sets that link differ in at most d = (1 - t) / (1 + t) * (|A| + |B|) shingles, so
 of m = d + 1 + e positions e + 1 are equal. Frequent shingles (about 2**-SHARE of all, so their number is bounded and
 they are broadcast) are left out of the keys, and positions without others have no key: as long as one of two sets has
 at most e such positions, they still share a key. Sets with more of them are indexed a second time with all shingles.
 Sizes are classed in steps of the threshold; a set is indexed under its class and the one above, so any two sets that
 may link meet under the larger one's class. Lists of one set are skipped. In lists of up to SHORT sets each two sets'
 sketches are held against each other: parities of hash buckets, of which sets that link differ in at most d. Longer
-lists, near copies mostly, tie their sets to one of them without that.
+lists, near copies mostly, tie their sets to one of them without that, as all pairs of a long list are never made; it
+makes neighbourhoods larger, which costs time only, as these are answered exactly. Equal sets are first made one.
 
-Set relations. Sets that meet in a list are of one neighbourhood, found by stars of lists, not by pairs. Equal sets
-are first made one. A neighbourhood is ordered by size and cut into blocks of BLOCK sets; a pair of blocks whose sizes
-rule out links is skipped. In a block, the first set's overlaps with all others are counted from the inverted lists;
-each further set derives its overlaps from those of the most similar set answered just before: it adds the lists of the
-shingles it has and the other hasn't, and takes off those of the shingles it lacks. So near copies cost their
-differences. A block pair returns a spanning forest of its links and the number of links of each set.
+Set relations. A neighbourhood is cut into blocks of up to BLOCK sets of about one size, and pairs of blocks whose sizes
+allow links are answered, block by block:
+
+- Block-skipping index lists. A block's right sets are indexed by the shingles of their prefixes, rarest first. In a
+  shingle's list the entries of one size form a block, in which they are ordered by the shingle's position in the set. A
+  probe with a shingle at position i skips the blocks whose size can't link or whose every entry leaves too few shingles
+  behind, and of the other blocks all entries from the first position on that leaves too few.
+- Answers from a similar set's. Leaders are chosen among the left sets so that each left set is either one or differs from
+  one in at most (1 - t) / 2 of the leader's shingles. A leader's probe looks for all that may link with any of its
+  followers, and counts its overlaps. A follower of the most similar leader takes these overlaps over: it adds those of
+  the lists of the shingles that it has and the leader hasn't, and takes off those of the shingles it lacks.
+
+A block pair returns a spanning forest of its links and the number of links of each set.
 
 Nulls and odd rows: a null or empty text, or one without words, has an empty set and no links. Repeated rows and equal
 texts link with each other; a null doc_id counts as the largest and its rows come back with null ids. An empty table
 gives an empty result. Other columns are ignored.
 
 Scale: keys are sent packed, 8 bytes and a byte each, once for a task's chunk of documents (a chunk's others that have
-the key are tied to its first one there), so a frequent key reaches a partition once a chunk. A neighbourhood of g
-different sets costs (g / BLOCK) ** 2 / 2 block pairs.
+the key are tied to its first one there), so a frequent key reaches a partition once a chunk. What one set or one
+neighbourhood has very many of, pairs or blocks, is joined without bringing them together (common.join_spread, and salts
+in `blocks`). A neighbourhood of g different sets costs (g / BLOCK) ** 2 / 2 block pairs.
 """
 
 from __future__ import annotations
@@ -41,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
+from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, join_spread, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 #: Tokens that a task takes up at a time; each makes up to two keys, and these are sorted.
 CHUNK = 1_000_000
@@ -51,6 +60,7 @@ PER_PART = 3_000_000
 PAIRS = 250_000
 BLOCK = 128
 BLOCK_SHINGLES = 100_000
+BLOCKS_A_SALT = 256
 #: Sets of a list that are compared with each other; and those of one chunk, beyond which the list counts as longer.
 SHORT, SHORT_IN_CHUNK = 32, 8
 #: Shingles with this share of all, as a power of two, are frequent.
@@ -275,6 +285,53 @@ def _shingled(n: int):
     return run
 
 
+def overlap_needed(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The least overlap with which sets of so many shingles link."""
+    t, u = threshold.numerator, threshold.denominator
+    return -(-t * (a + b) // (t + u))
+
+
+def slack(size: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """By how many shingles, either way, a follower may differ from a leader of that size."""
+    return (threshold.denominator - threshold.numerator) * size // (2 * threshold.denominator)
+
+
+class Lists:
+    """Inverted lists of sets' prefixes: a shingle's entries of one size are a block, in it ordered by position.
+
+    A prefix is long enough for probes by any leader of a set that may link.
+    """
+
+    def __init__(self, ranked: list[np.ndarray], size: np.ndarray, threshold: Fraction):
+        t = float(threshold)
+        reach = size - np.maximum(-(-size * threshold.numerator // threshold.denominator) - np.ceil((1 - t) * size / (t * (1 + t)) + 1e-9).astype(np.int64), 1) + 1
+        reach = np.minimum(reach, size)
+        token = np.concatenate([r[:n] for r, n in zip(ranked, reach.tolist(), strict=True)])
+        owner = np.repeat(np.arange(len(ranked)), reach)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(reach) - reach, reach)
+        order = np.lexsort((place, size[owner], token))
+        self.owner, self.place = owner[order], place[order]
+        token, sizes = token[order], size[owner][order]
+        begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (sizes[1:] != sizes[:-1])]))
+        self.begin, self.end, self.sizes = begin, np.append(begin[1:], len(token)), sizes[begin]
+        self.token = token[begin]
+
+    def probe(self, ranked: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The sets that may share need[their size] shingles or more; need: too much for the sizes that can't link."""
+        n, found = len(ranked), []
+        least = int(need.min())
+        first, last = np.searchsorted(self.token, ranked, "left"), np.searchsorted(self.token, ranked, "right")
+        for i in range(min(n, n - least + 1)):
+            for block in range(first[i], last[i]):
+                wanted = need[self.sizes[block]]
+                if n - i < wanted:  # the probing set has too few shingles left: skip the block
+                    continue
+                a, b = self.begin[block], self.end[block]
+                # What begins after this position leaves the other sets too few: skip the rest of the block.
+                found.append(self.owner[a : a + np.searchsorted(self.place[a:b], self.sizes[block] - wanted, "right")])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def answers(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies: np.ndarray, threshold: Fraction) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Links between sets marked left and sets marked right; a set may be both.
 
@@ -282,19 +339,43 @@ def answers(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies:
     right one, a set standing for `copies` documents.
     """
     size = np.array([len(s) for s in sets])
-    rights = np.flatnonzero(right)
-    token = np.concatenate([sets[i] for i in rights])
-    owner = np.repeat(np.arange(len(rights)), size[rights])
-    order, begin = groups(token)
-    shingle, owner, count = token[order[begin]], owner[order], np.diff(np.append(begin, len(order)))
-
-    def lists(some: np.ndarray) -> np.ndarray:
+    lefts, rights = np.flatnonzero(left), np.flatnonzero(right)
+    # Shingles by rank, the rarest first.
+    _, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    flat = place[rank]
+    ranked = [np.sort(x) for x in np.split(flat, np.cumsum(size)[:-1])]
+    begins = np.cumsum(size) - size
+    lists = Lists([ranked[i] for i in rights], size[rights], threshold)
+    # All right sets that have a shingle, for the corrections.
+    token, owner = np.concatenate([ranked[i] for i in rights]), np.repeat(np.arange(len(rights)), size[rights])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+
+    def holders(some: np.ndarray) -> np.ndarray:
         """For each right set, how many of some shingles it has."""
-        at = np.minimum(np.searchsorted(shingle, some), len(shingle) - 1)
-        at = at[shingle[at] == some]
-        n = count[at]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.bincount(owner[np.repeat(begin[at], n) + within], minlength=len(rights))
+        a, b = np.searchsorted(token, some, "left"), np.searchsorted(token, some, "right")
+        return np.bincount(np.concatenate([owner[x:y] for x, y in zip(a, b, strict=True)] or [owner[:0]]), minlength=len(rights))
+
+    marked = np.zeros(len(count), bool)
+
+    def overlaps(i: int, others: np.ndarray) -> np.ndarray:
+        """Of set i with some others."""
+        marked[ranked[i]] = True
+        out = np.array([marked[flat[begins[j] : begins[j] + size[j]]].sum() for j in others.tolist()], np.int64)
+        marked[ranked[i]] = False
+        return out
+
+    # Leaders, until all have one; then each left set follows the one that it is most like.
+    nearest, least = np.full(len(sets), -1), np.full(len(sets), np.iinfo(np.int64).max)
+    for i in lefts.tolist():
+        if nearest[i] < 0:
+            both = overlaps(i, lefts)
+            more, fewer = size[lefts] - both, size[i] - both
+            within = (np.maximum(more, fewer) <= slack(size[i], threshold)) & (more + fewer < least[lefts])
+            within[lefts == i] = True
+            nearest[lefts[within]], least[lefts[within]] = i, (more + fewer)[within]
 
     forest: list[tuple[int, int]] = []
     parent = list(range(len(sets)))
@@ -306,25 +387,29 @@ def answers(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies:
         return i
 
     as_left, as_right = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-    overlap, last = np.zeros(len(rights), np.int64), np.zeros(0, np.uint64)
-    for i in np.flatnonzero(left).tolist():
-        more = np.setdiff1d(sets[i], last, assume_unique=True)
-        fewer = np.setdiff1d(last, sets[i], assume_unique=True)
-        if len(more) + len(fewer) < len(sets[i]):  # similar to the last set: its answers, corrected
-            overlap = overlap + lists(more) - lists(fewer)
-        else:
-            overlap = lists(sets[i])
-        last = sets[i]
-        # Linked if overlap / (a + b - overlap) is at least the threshold.
-        fit = overlap * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[i] + size[rights])
-        found = rights[fit & (rights != i)]
-        as_left[i] = copies[found].sum()
-        as_right[found] += copies[i]
-        for j in found.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a] = b
-                forest.append((i, j))
+    all_sizes = np.arange(int(size.max()) + 1)
+    for leader in np.unique(nearest[lefts]).tolist():
+        followers = lefts[nearest[lefts] == leader]
+        more = [np.setdiff1d(ranked[i], ranked[leader], assume_unique=True) for i in followers]
+        need = np.full(len(all_sizes), int(size[leader]) + 1)
+        for i, extra in zip(followers.tolist(), more, strict=True):
+            fit = (all_sizes >= threshold * size[i]) & (threshold * all_sizes <= size[i])
+            need[fit] = np.minimum(need[fit], overlap_needed(size[i], all_sizes[fit], threshold) - len(extra))
+        near = lists.probe(ranked[leader], need)
+        if not len(near):
+            continue
+        others, shared = rights[near], overlaps(leader, rights[near])
+        for i, extra in zip(followers.tolist(), more, strict=True):
+            lacking = np.setdiff1d(ranked[leader], ranked[i], assume_unique=True)
+            overlap = shared + holders(extra)[near] - holders(lacking)[near] if i != leader else shared
+            found = others[(overlap >= overlap_needed(size[i], size[others], threshold)) & (others != i)]
+            as_left[i] = copies[found].sum()
+            as_right[found] += copies[i]
+            for j in found.tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[a] = b
+                    forest.append((i, j))
     return forest, as_left, as_right
 
 
@@ -336,9 +421,6 @@ def _answer(threshold: Fraction):
         packed = table["shingles"].to_pylist()
         sets = [np.frombuffer(packed[i], "<u8") for i in place.tolist()]
         block, copies = table["block"].to_numpy()[place], table["copies"].to_numpy()[place]
-        # Similar sets share their least shingles, mostly: so they come one after the other.
-        order = np.array(sorted(range(len(sets)), key=lambda i: sets[i][:3].tolist()), np.int64)
-        names, block, copies, sets = names[order], block[order], copies[order], [sets[i] for i in order.tolist()]
         forest, as_left, as_right = answers(sets, block == first, block == second, copies, threshold)
         links = as_left + (as_right if first != second else 0)
         some = np.flatnonzero(links)
@@ -355,15 +437,18 @@ def blocks(members: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFram
     A block is a range of sizes and a salt; the salts are as many as the range's sets and shingles ask for.
     """
     step = -math.log(float(threshold)) / 2
-    sized = members.withColumn("range", F.floor(F.log("size") / F.lit(step)).cast("long"))
+    sized = members.withColumn("range", F.floor(F.log("size") / F.lit(step)).cast("long")).checkpoint()
     many = sized.groupBy("cluster", "range").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("salts"))
-    salted = many.select(F.col("cluster").alias("k"), F.col("range").alias("r"), "salts")
-    placed = sized.join(salted, (F.col("cluster") == F.col("k")) & (F.col("range") == F.col("r")))
-    placed = placed.withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("name"), F.col("salts"))).drop("k", "r", "range", "salts").checkpoint()
+    placed = join_spread(sized, many, "cluster", "range")
+    placed = placed.withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("name"), F.col("salts"))).drop("range", "salts").checkpoint()
     spans = placed.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    one, two = spans.toDF("cluster", "first", "low1", "high1"), spans.toDF("cluster", "second", "low2", "high2")
     t = float(threshold) * (1 - 1e-9)
-    pairs = one.join(two, "cluster").where((F.col("first") <= F.col("second")) & (F.col("high2") >= F.col("low1") * t) & (F.col("high1") >= F.col("low2") * t))
+    # A neighbourhood's second blocks are dealt out by salts, one for each BLOCKS_A_SALT of them, and its first ones go to each.
+    dealt = spans.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCKS_A_SALT).cast("long").alias("salts"))
+    spans = join_spread(spans.checkpoint(), dealt, "cluster").checkpoint()
+    one = spans.select("cluster", F.col("block").alias("first"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    two = spans.select("cluster", F.col("block").alias("second"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"))
+    pairs = one.join(two, ["cluster", "salt"]).where((F.col("first") <= F.col("second")) & (F.col("high2") >= F.col("low1") * t) & (F.col("high1") >= F.col("low2") * t))
     return placed, pairs.select("cluster", "first", "second")
 
 
@@ -391,7 +476,8 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long, sketch binary").checkpoint()
     by_name = rows.where("name is not null").groupBy("name").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
     sketches = rows.where("name is not null").groupBy("name").agg(F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
-    pairs = ties.where("not sure").select("a", "b").join(sketches.toDF("a", "size_a", "sketch_a"), "a").join(sketches.toDF("b", "size_b", "sketch_b"), "b")
+    pairs = join_spread(ties.where("not sure").select("a", "b"), sketches.toDF("a", "size_a", "sketch_a"), "a").checkpoint()
+    pairs = join_spread(pairs, sketches.toDF("b", "size_b", "sketch_b"), "b")
     near = pairs.mapInArrow(_compared(threshold), "a long, b long").union(ties.where("sure").select("a", "b"))
     clusters = components(near).withColumnRenamed("component", "cluster")
     members = by_name.join(clusters.withColumnRenamed("node", "name"), "name")
@@ -413,7 +499,7 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs that stay, with their columns, when one of each class does: the one with the least doc_id.
 
-    A null doc_id counts as the largest. Of rows that agree in doc_id and text any one stays, whatever other columns hold.
+    A null doc_id counts as the largest. Of rows that agree in doc_id and text the one stays whose columns have the least hash.
     Rows without words are nobody's copies and all stay.
     """
     # A class's rows are summed up by key first, so the second aggregation gets few rows of a task.
@@ -426,7 +512,10 @@ def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     left = keyed.join(stay.where("copies = 1").select(rk), rk, "left_semi")
     repeated = stay.where("copies > 1").select(rk)
     if not repeated.isEmpty():
-        left = left.union(keyed.join(repeated, rk, "left_semi").select(left.columns).dropDuplicates([rk]))
+        names = [c for c in left.columns if c != rk]
+        plain = [f"`{f.name}`" for f in docs.schema if "map" not in f.dataType.simpleString()]  # maps have no hash
+        one = keyed.join(repeated, rk, "left_semi").groupBy(rk).agg(F.min_by(F.struct(*[f"`{c}`" for c in names]), F.xxhash64(*plain)).alias("one"))
+        left = left.select(rk, *[f"`{c}`" for c in names]).union(one.select(rk, *[F.col(f"one.`{c}`") for c in names]))
     return left.select(docs.columns)
 
 

@@ -74,6 +74,60 @@ def test_ngram_join(frame, odd_rows, n, t):
     assert got == brute_components(rows, n, t)
 
 
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_answers_of_blocks_equal_all_pairs(t):
+    """Groups of near copies, with sizes and differences about the bounds of links, leaders and prefixes."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for size in (1, 2, 4, 9, 20, 21, 60, 200):
+        base = rng.integers(0, 2**62, 3 * size).astype(np.uint64)
+        for _ in range(12):
+            own = set(base[:size].tolist())
+            for _ in range(int(rng.integers(0, max(2, size // 4)))):
+                own.discard(int(base[rng.integers(size)]))
+                own.add(int(base[rng.integers(3 * size)]))
+            sets.append(np.array(sorted(own or {1}), np.uint64))
+    sets = [np.array(x, np.uint64) for x in sorted({tuple(s.tolist()) for s in sets})]
+    copies = rng.integers(1, 4, len(sets))
+    side = rng.integers(0, 2, len(sets)).astype(bool)
+    linked = lambda i, j: i != j and Fraction(len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))) >= t
+    for left, right in ((np.ones(len(sets), bool),) * 2, (side, ~side)):
+        forest, as_left, as_right = ngram_join.answers(sets, left, right, copies, t)
+        want = {(i, j) for i in np.flatnonzero(left) for j in np.flatnonzero(right) if linked(i, j)}
+        assert want and set(forest) <= want
+        assert as_left.tolist() == [sum(copies[j] for i, j in want if i == k) for k in range(len(sets))]
+        assert as_right.tolist() == [sum(copies[i] for i, j in want if j == k) for k in range(len(sets))]
+        root = list(range(len(sets)))
+        for i, j in forest:
+            a, b = root[i], root[j]
+            assert a != b
+            root = [b if r == a else r for r in root]
+        assert all(root[i] == root[j] for i, j in want)
+
+
+def test_lists_skip_blocks_and_places():
+    """Sets of two sizes with one shingle in common, at each place: only those that can overlap enough are found."""
+    ranked = [np.sort(np.append(100 * k + 100 + np.arange(n - 1), at)) for k, (n, at) in enumerate([(10, 0), (10, 9999), (20, 0), (10, 50)])]
+    lists = ngram_join.Lists(ranked, np.array([10, 10, 20, 10]), Fraction(1, 2))
+    need = np.full(40, 11)
+    need[10] = 10
+    assert lists.probe(np.arange(10), need).tolist() == [0]
+    need[20] = 10
+    assert lists.probe(np.arange(10), need).tolist() == [0, 2]
+    need[:] = 1
+    assert lists.probe(np.array([50, 9999]), need).tolist() == [1, 3]
+    need[:] = 2
+    assert lists.probe(np.array([50, 9999]), need).tolist() == [3]
+
+
+@pytest.mark.parametrize("heavy", [10, 1, 0])
+def test_components_of_stars_paths_and_cycles(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    edges = [(500, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(40)] + [(70, 71), (71, 72), (72, 70), (90, 1001)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 70: 70, 71: 70, 72: 70, 90: 90, 500: 90, **{i: 90 for i in range(1000, 1400)}}
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(2)
     for a, b in ((5, 9), (100, 110), (130, 120), (1000, 400)):
