@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a text, for Spark's regular expressions: runs of anything but ASCII white space.
@@ -223,20 +223,28 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: A key with more than this share of the rows, as a power of two, is heavy: there are 2**HEAVY of them at most.
 HEAVY = 10
+#: Narrow rows that a task may well take.
+ROWS_A_PART = 100_000
 
 
-def join_spread(rows: DataFrame, table: DataFrame, *keys: str, total: int | None = None) -> DataFrame:
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than so many narrow rows need; what precedes it up to a shuffle runs in as many tasks."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_A_PART))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, *keys: str, heavy: DataFrame | None = None) -> DataFrame:
     """rows joined with a table that has one row for each value of the keys, so that no key's rows come together.
 
     The table's rows for heavy keys, 2**HEAVY at most, are broadcast; the others are joined as Spark chooses. rows is read
-    several times, so it should be cheap to read. total: the number of rows, or a little more, if it is known.
+    several times, so it should be cheap to read. heavy: the heavy keys, if they are known.
     """
-    total = rows.count() if total is None else total
-    found = rows.groupBy(*keys).count().where(F.col("count") > (total >> HEAVY)).select(*keys)
-    heavy = found.collect()  # 2**HEAVY at most
-    if not heavy:
+    if heavy is None:
+        total = rows.count()
+        heavy = rows.groupBy(*keys).count().where(F.col("count") > (total >> HEAVY)).select(*keys)
+    found = heavy.collect()  # 2**HEAVY at most
+    if not found:
         return rows.join(table, list(keys))
-    named = F.broadcast(rows.sparkSession.createDataFrame(heavy, found.schema))
+    named = F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema).coalesce(1))
     few = F.broadcast(table.join(named, list(keys), "left_semi"))
     rest = rows.join(named, list(keys), "left_anti")
     return rows.join(few, list(keys)).unionByName(rest.join(table, list(keys)))
@@ -251,13 +259,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct().checkpoint()
     mark = now.count(), None
+    now = narrowed(now, mark[0])
+
+    def meet(rows: DataFrame, least: Column) -> DataFrame:
+        """rows (u, v) with m, the least of each u."""
+        n = 2 * mark[0]
+        best = narrowed(rows.groupBy("u").agg(least.alias("m"), F.count("*").alias("degree")), n).checkpoint()
+        return join_spread(rows, best.select("u", "m"), "u", heavy=best.where(F.col("degree") > (n >> HEAVY)).select("u"))
+
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_spread(both, least, "u", total=2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).checkpoint()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_spread(large, least, "u", total=2 * mark[0]).where("u > m")
-        now = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct().checkpoint()
+        large = meet(both, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = narrowed(large, 2 * mark[0]).checkpoint()
+        small = meet(large, F.min("v")).where("u > m")
+        now = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        now = narrowed(now, 2 * mark[0]).checkpoint()
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             break

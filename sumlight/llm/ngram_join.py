@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, join_spread, mix, narrow, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
+from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, join_spread, mix, narrow, narrowed, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
 
 #: Tokens that a task takes up at a time; each makes up to two keys, and these are sorted.
 CHUNK = 1_000_000
@@ -438,14 +438,17 @@ def blocks(members: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFram
     """
     step = -math.log(float(threshold)) / 2
     sized = members.withColumn("range", F.floor(F.log("size") / F.lit(step)).cast("long")).checkpoint()
+    n = sized.count()
+    sized = narrowed(sized, n)
     many = sized.groupBy("cluster", "range").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("salts"))
     placed = join_spread(sized, many, "cluster", "range")
-    placed = placed.withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("name"), F.col("salts"))).drop("range", "salts").checkpoint()
-    spans = placed.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    placed = placed.withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("name"), F.col("salts"))).drop("range", "salts")
+    placed = narrowed(placed, n).checkpoint()
+    spans = narrowed(placed.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high")), n).checkpoint()
     t = float(threshold) * (1 - 1e-9)
     # A neighbourhood's second blocks are dealt out by salts, one for each BLOCKS_A_SALT of them, and its first ones go to each.
     dealt = spans.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCKS_A_SALT).cast("long").alias("salts"))
-    spans = join_spread(spans.checkpoint(), dealt, "cluster").checkpoint()
+    spans = narrowed(join_spread(spans, dealt, "cluster"), n).checkpoint()
     one = spans.select("cluster", F.col("block").alias("first"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     two = spans.select("cluster", F.col("block").alias("second"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"))
     pairs = one.join(two, ["cluster", "salt"]).where((F.col("first") <= F.col("second")) & (F.col("high2") >= F.col("low1") * t) & (F.col("high1") >= F.col("low2") * t))
@@ -476,8 +479,10 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long, sketch binary").checkpoint()
     by_name = rows.where("name is not null").groupBy("name").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
     sketches = rows.where("name is not null").groupBy("name").agg(F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
-    pairs = join_spread(ties.where("not sure").select("a", "b"), sketches.toDF("a", "size_a", "sketch_a"), "a").checkpoint()
-    pairs = join_spread(pairs, sketches.toDF("b", "size_b", "sketch_b"), "b")
+    n = ties.count()
+    pairs = narrowed(ties, n).where("not sure").select("a", "b")
+    for side in ("a", "b"):
+        pairs = narrowed(join_spread(pairs, sketches.toDF(side, f"size_{side}", f"sketch_{side}"), side), n).checkpoint()
     near = pairs.mapInArrow(_compared(threshold), "a long, b long").union(ties.where("sure").select("a", "b"))
     clusters = components(near).withColumnRenamed("component", "cluster")
     members = by_name.join(clusters.withColumnRenamed("node", "name"), "name")
