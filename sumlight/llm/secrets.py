@@ -164,13 +164,13 @@ def kinds_of(held: Column, rules: tuple[Rule, ...]) -> Column:
 
 def index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """rk and held, the postings of the rows that have any. rk is a hash of doc_id and text."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), held_in(F.col("text"), rules).alias("held"))
-    return rows.where(F.size("held") > 0)
+    # An exploded array of one is worked out once, where a filter above would work it out again.
+    return docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.explode(F.array(held_in(F.col("text"), rules))).alias("held")).where(F.size("held") > 0)
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """rk and the kinds of rules whose queries the postings satisfy, of rows with any."""
-    return postings.select("rk", kinds_of(F.col("held"), rules).alias("kinds")).where(F.size("kinds") > 0)
+    return postings.select("rk", F.explode(F.array(kinds_of(F.col("held"), rules))).alias("kinds")).where(F.size("kinds") > 0)
 
 
 def let(value: Column, use: object) -> Column:
@@ -231,7 +231,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if (found.agg(F.sum(F.octet_length(F.array_join("kinds", " ")) + 64)).first()[0] or 0) <= MOST_BROADCAST:
         both = narrow.withColumn("own", F.xxhash64("doc_id", "text")).join(F.broadcast(found), F.col("own") == F.col("rk"), "left")
     else:
-        both = narrow.withColumn("kinds", kinds_of(held_in(F.col("text"), rules), rules))
+        own = let(held_in(F.col("text"), rules), lambda held: kinds_of(held, rules))
+        both = narrow.select("*", F.explode(F.array(own)).alias("kinds"))
     columns = []
     for rank, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, rank)
