@@ -1,6 +1,7 @@
 """Scoring functions: how raw scores become similarities, and similarities become terms of the sum.
 
-A new one is a Scoring with two functions of columns.
+A new one is a Scoring with two functions of columns; with the same two for numpy arrays as well, sums over all items are
+worked out in blocks.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ class Scoring:
     metric: str
     sim: Callable[[Column], Column]
     term: Callable[[Column, Column, Column], Column]
-    params: tuple[float, ...]
-    sim_sql: str
-    term_sql: str
-
-
-KDE = Scoring("kde", "euclid", lambda d: -d * d, lambda s, m, p: F.exp((s - m) / (F.lit(2.0) * p * p)), (0.25, 0.5, 1.0), "-(dist * dist)", "exp((sim - mx) / (2.0::double * param * param))")
-SOFTMAX = Scoring("softmax", "dot", lambda d: d, lambda s, m, p: F.exp((s - m) / p), (0.05, 0.1, 1.0), "dot", "exp((sim - mx) / param)")
-BALL = Scoring("ball", "euclid", lambda d: -d, lambda s, m, p: (F.abs(s) <= p).cast("double"), (1.2, 1.3, 1.4), "-dist", "(case when abs(sim) <= param then 1.0 else 0.0 end)::double")
+    params: tuple[float, ...] = ()
+    sim_sql: str = ""
+    term_sql: str = ""
+    #: For arrays. Where terms depend on max, they must be such that term(s, m, p) = term(s, n, p) * term(n, m, p).
+    array_sim: Callable[[np.ndarray], np.ndarray] | None = None
+    array_term: Callable[[np.ndarray, float, float], np.ndarray] | None = None
+    by_max: bool = True
+
+
+KDE = Scoring("kde", "euclid", lambda d: -d * d, lambda s, m, p: F.exp((s - m) / (F.lit(2.0) * p * p)), (0.25, 0.5, 1.0), "-(dist * dist)", "exp((sim - mx) / (2.0::double * param * param))", lambda d: -d * d, lambda s, m, p: np.exp((s - m) / (2.0 * p * p)))
+SOFTMAX = Scoring("softmax", "dot", lambda d: d, lambda s, m, p: F.exp((s - m) / p), (0.05, 0.1, 1.0), "dot", "exp((sim - mx) / param)", lambda d: d, lambda s, m, p: np.exp((s - m) / p))
+BALL = Scoring("ball", "euclid", lambda d: -d, lambda s, m, p: (F.abs(s) <= p).cast("double"), (1.2, 1.3, 1.4), "-dist", "(case when abs(sim) <= param then 1.0 else 0.0 end)::double", lambda d: -d, lambda s, m, p: (np.abs(s) <= p).astype(float), False)
 ALL = {s.name: s for s in (KDE, SOFTMAX, BALL)}
 
 
@@ -45,3 +50,7 @@ GRIDS = {
     "text_kde": powers(-0.7, 1.5, 0.05),
     "text_ball": sorted({*powers(-5, 1, 0.1), *powers(0, 1.8, 0.05)}),
 }
+
+
+#: The settings of the experiment: a scoring function and its grid.
+SETTINGS = {name: (ALL[name.split("_")[1]], tuple(grid)) for name, grid in GRIDS.items()}

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import Scoring
-from .retrieve import best_first, packed, scored
+from .retrieve import best_first, packed, raw_scores, scored
 
 
 def grid(params: list[float] | tuple[float, ...], name: str = "param", kind: str = "double") -> Column:
@@ -30,27 +30,21 @@ def _terms(rows: DataFrame, maxes: DataFrame, scoring: Scoring, params) -> DataF
     return wide.withColumn("f", scoring.term(F.col("sim"), F.col("mx"), F.col("param")))
 
 
-def _partial_sums(kind: str, params: list[float]):
+def _partial_sums(scoring: Scoring, params: list[float]):
     """For a pair of blocks: each query's greatest similarity and, shifted by it, the sum of terms of each parameter."""
+    metric, sim_of, term_of = scoring.metric, scoring.array_sim, scoring.array_term
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                x, q = np.frombuffer(row["matrix"], "<f8").reshape(len(ids), -1), np.frombuffer(row["q_matrix"], "<f8").reshape(len(qids), -1)
+                ids, qids, raw = raw_scores(row, metric)
                 out = []
                 for j, qid in enumerate(qids.tolist()):
                     use = ids != qid
-                    if not use.any():
-                        continue
-                    raw = x[use] @ q[j] if kind == "softmax" else np.sqrt(((x[use] - q[j]) ** 2).sum(axis=1))
-                    sim = raw if kind == "softmax" else -raw if kind == "ball" else -raw * raw
-                    top = float(sim.max())
-                    for p in params:
-                        if kind == "ball":
-                            value = float((np.abs(sim) <= p).sum())
-                        else:
-                            value = float(np.exp((sim - top) / (p if kind == "softmax" else 2.0 * p * p)).sum())
-                        out.append((qid, p, top, value))
+                    if use.any():
+                        sim = sim_of(raw[use, j])
+                        top = float(sim.max())
+                        out += [(qid, p, top, float(term_of(sim, top, p).sum())) for p in params]
                 columns = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)], ["qid", "param", "top", "value"])
 
@@ -58,11 +52,17 @@ def _partial_sums(kind: str, params: list[float]):
 
 
 def true_sum(items: DataFrame, queries: DataFrame, scoring: Scoring, params: list[float]) -> DataFrame:
-    """qid, param, true_sum. Blocks give sums shifted by their own best, put on one scale when they meet."""
+    """qid, param, true_sum. Blocks give sums shifted by their own best, put on one scale when they meet.
+
+    A scoring function without forms for arrays takes the generic way.
+    """
+    if scoring.array_sim is None or scoring.array_term is None:
+        return true_sum_generic(items, queries, scoring, params)
     asked = packed(queries).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    parts = packed(items).crossJoin(asked).select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(_partial_sums(scoring.name, list(params)), "qid long, param double, top double, value double")
+    pairs = packed(items).crossJoin(asked).select("ids", "matrix", "q_ids", "q_matrix")
+    parts = pairs.mapInArrow(_partial_sums(scoring, list(params)), "qid long, param double, top double, value double")
     best = F.max("top").over(W.partitionBy("qid", "param"))
-    scale = F.lit(1.0) if scoring.name == "ball" else scoring.term(F.col("top"), F.col("best"), F.col("param"))
+    scale = scoring.term(F.col("top"), F.col("best"), F.col("param")) if scoring.by_max else F.lit(1.0)
     return parts.withColumn("best", best).groupBy("qid", "param").agg(F.sum(F.col("value") * scale).alias("true_sum"))
 
 

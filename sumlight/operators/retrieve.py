@@ -1,16 +1,16 @@
 """Retrieval: a stated set of queries against all items, in blocks.
 
-Items and queries are packed into matrices of BLOCK_BYTES at most; a pair of matrices is scored by one product. What a
-query wants to keep (the best, the best by level, a uniform sample) is cut to size within the pair, so only that many
-rows for each query and block leave the kernel; the final cut ranks those. Nothing is collected, and which side is
-sent to the other's tasks is left to Spark, which knows their sizes.
+Items and queries are packed into matrices of BLOCK_BYTES at most; a pair of matrices is scored by one product, Euclidean
+distances too. What a query wants to keep (the best, the best by level) is cut to size within the pair, so only that many
+rows for each query and block leave the kernel; the final cut ranks those. Uniform samples are drawn by hashes of ids, and
+only the drawn items' vectors are scored. Nothing is collected, and which side is sent to the other's tasks is left to
+Spark, which knows their sizes.
 
 Ties are broken by the larger id. A query's own id is left out unless asked for.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,58 +26,75 @@ BLOCK_BYTES = 2 << 20
 _PACKED = "n int, ids binary, matrix binary, levels binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False).astype("<i8")
-        if not len(ids):
-            continue
-        matrix = np.array(batch.column("vector").to_pylist(), "<f8")
-        levels = np.stack([batch.column(f"level_{j}").to_numpy(zero_copy_only=False) for j in range(COLUMNS)], axis=1).astype(np.int8)
-        step = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))
-        for at in range(0, len(ids), step):
-            some = slice(at, at + step)
-            row = len(ids[some]), ids[some].tobytes(), matrix[some].tobytes(), levels[some].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["n", "ids", "matrix", "levels"])
-
+def _pack(codes: tuple[float, float] | None):
+    """codes: the range that elements are cut to and put on 255 steps of, a byte each; None: doubles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype("<i8")
+            if not len(ids):
+                continue
+            matrix = np.array(batch.column("vector").to_pylist(), "<f8")
+            if codes:
+                low, high = codes
+                matrix = np.floor((np.clip(matrix, low, high) - low) / ((high - low) / STEPS) + 0.5).astype(np.uint8)
+            levels = np.stack([batch.column(f"level_{j}").to_numpy(zero_copy_only=False) for j in range(COLUMNS)], axis=1).astype(np.int8)
+            step = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))
+            for at in range(0, len(ids), step):
+                some = slice(at, at + step)
+                row = len(ids[some]), ids[some].tobytes(), matrix[some].tobytes(), levels[some].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["n", "ids", "matrix", "levels"])
 
-def packed(table: DataFrame, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows of many items each: ids, vectors and levels."""
-    rows = table.select(F.col(item).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *all_levels(F.col(item)))
-    return rows.where("id is not null and vector is not null").mapInArrow(_pack, _PACKED)
+    return run
 
 
-def _kernel(metric: str, keep: tuple | None, exclude_self: bool):
-    """Scores of pairs of blocks. keep: None, ("top", k), ("level", k) or ("sample", m, seed)."""
+def packed(table: DataFrame, item: str = "vec_id", vector: str = "embedding", codes: tuple[float, float] | None = None) -> DataFrame:
+    """Rows of many items each: ids, vectors or their codes, and levels."""
+    rows = table.select(F.col(item).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *all_levels(F.col(item)))
+    return rows.where("id is not null and vector is not null").mapInArrow(_pack(codes), _PACKED)
+
+
+#: Steps of codes, less one.
+STEPS = 254
+
+
+def raw_scores(row: dict, metric: str, codes: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pair of blocks: the items' ids, the queries' ids, and products or distances, a column for each query."""
+    ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+    q = np.frombuffer(row["q_matrix"], "<f8").reshape(len(qids), -1)
+    if codes:
+        x = np.frombuffer(row["matrix"], np.uint8).reshape(len(ids), -1) * ((codes[1] - codes[0]) / STEPS) + codes[0]
+    else:
+        x = np.frombuffer(row["matrix"], "<f8").reshape(len(ids), -1)
+    raw = x @ q.T
+    if metric == "dot":
+        return ids, qids, raw
+    whole = (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)
+    square = whole - 2 * raw
+    # Where most of the digits cancel, the difference is taken first.
+    for i, j in np.argwhere(square < 1e-4 * whole).tolist():
+        square[i, j] = ((x[i] - q[j]) ** 2).sum()
+    return ids, qids, np.sqrt(square)
+
+
+def _kernel(metric: str, keep: tuple | None, exclude_self: bool, codes: tuple[float, float] | None):
+    """Scores of pairs of blocks. keep: None for all, or (k, l): the k best of a query, and the l best of each level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                x, q = np.frombuffer(row["matrix"], "<f8").reshape(len(ids), -1), np.frombuffer(row["q_matrix"], "<f8").reshape(len(qids), -1)
+                ids, qids, scores = raw_scores(row, metric, codes)
                 levels = np.frombuffer(row["levels"], np.int8).reshape(len(ids), -1)
-                scores = x @ q.T
-                out = []
                 for j, qid in enumerate(qids.tolist()):
-                    raw = scores[:, j] if metric == "dot" else np.sqrt(((x - q[j]) ** 2).sum(axis=1))
-                    level = levels[:, (qid // EVERY) % COLUMNS]
+                    raw, level = scores[:, j], levels[:, (qid // EVERY) % COLUMNS]
                     use = np.flatnonzero(ids != qid) if exclude_self else np.arange(len(ids))
-                    tag = np.zeros(len(ids), object)
                     if keep is not None:
                         best = raw if metric == "dot" else -raw
-                        if keep[0] == "sample":
-                            tag[use] = [hashlib.md5(f"R{keep[2]}:{qid}:{i}".encode()).hexdigest() for i in ids[use].tolist()]
-                            use = use[np.argsort(tag[use])][: keep[1]]
-                        else:
-                            use = use[np.lexsort((-ids[use], -best[use]))]
-                            if keep[0] == "top":
-                                use = use[: keep[1]]
-                            else:
-                                order = np.argsort(level[use], kind="stable")
-                                at = level[use][order]
-                                place = np.arange(len(at)) - np.searchsorted(at, at)
-                                use = use[order[place < keep[1]]]
-                    names = tag[use].tolist() if keep and keep[0] == "sample" else [None] * len(use)
-                    out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(use), qid)), pa.array(ids[use]), pa.array(raw[use]), pa.array(level[use].astype(np.int32)), pa.array(names, pa.string())], ["qid", "id", "raw", "level", "tag"]))
-                yield from out
+                        use = use[np.lexsort((-ids[use], -best[use]))]
+                        order = np.argsort(level[use], kind="stable")
+                        at = level[use][order]
+                        held = np.arange(len(use)) < keep[0]
+                        held[order[np.arange(len(at)) - np.searchsorted(at, at) < keep[1]]] = True
+                        use = use[held]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), qid)), pa.array(ids[use]), pa.array(raw[use]), pa.array(level[use].astype(np.int32))], ["qid", "id", "raw", "level"])
 
     return run
 
@@ -90,36 +107,74 @@ def query_set(items: DataFrame, item: str = "vec_id") -> DataFrame:
     return items.where(F.col(item) % EVERY == 0)
 
 
-def scored(items: DataFrame, queries: DataFrame, scoring: Scoring, keep: tuple | None = None, exclude_self: bool = True) -> DataFrame:
-    """qid, id, sim, level (of the query's level column) and tag, the sampling hash."""
+def raw_pairs(items: DataFrame, queries: DataFrame, metric: str, keep: tuple | None = None, exclude_self: bool = True, codes: tuple[float, float] | None = None) -> DataFrame:
+    """qid, id, raw (product or distance) and level, of the query's level column."""
     asked = packed(queries).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     # The stated queries against all rows, block by block: one row here is thousands of items or queries.
-    pairs = packed(items).crossJoin(asked).select("ids", "matrix", "levels", "q_ids", "q_matrix")
-    out = pairs.mapInArrow(_kernel(scoring.metric, keep, exclude_self), "qid long, id long, raw double, level int, tag string")
-    return out.select("qid", "id", scoring.sim(F.col("raw")).alias("sim"), "level", "tag")
+    pairs = packed(items, codes=codes).crossJoin(asked).select("ids", "matrix", "levels", "q_ids", "q_matrix")
+    return pairs.mapInArrow(_kernel(metric, keep, exclude_self, codes), "qid long, id long, raw double, level int")
 
 
+def scored(items: DataFrame, queries: DataFrame, scoring: Scoring, keep: tuple | None = None, exclude_self: bool = True, codes: tuple[float, float] | None = None) -> DataFrame:
+    """qid, id, sim, level."""
+    return raw_pairs(items, queries, scoring.metric, keep, exclude_self, codes).select("qid", "id", scoring.sim(F.col("raw")).alias("sim"), "level")
+
 
 def best_first(*by: str):
     return W.partitionBy(*by).orderBy(F.col("sim").desc(), F.col("id").desc())
 
 
-def top(items: DataFrame, queries: DataFrame, scoring: Scoring, k: int) -> DataFrame:
+def top(items: DataFrame, queries: DataFrame, scoring: Scoring, k: int, codes: tuple[float, float] | None = None) -> DataFrame:
     """The k most similar items of each query; rk counts from 1."""
-    cut = scored(items, queries, scoring, ("top", k))
-    return cut.withColumn("rk", F.row_number().over(best_first("qid"))).where(F.col("rk") <= k).drop("tag")
+    cut = scored(items, queries, scoring, (k, 0), codes=codes)
+    return cut.withColumn("rk", F.row_number().over(best_first("qid"))).where(F.col("rk") <= k)
 
 
-def top_by_level(items: DataFrame, queries: DataFrame, scoring: Scoring, k: int) -> DataFrame:
+def top_by_level(items: DataFrame, queries: DataFrame, scoring: Scoring, k: int, codes: tuple[float, float] | None = None) -> DataFrame:
     """The k most similar items of each query and level; rl counts from 1."""
-    cut = scored(items, queries, scoring, ("level", k))
-    return cut.withColumn("rl", F.row_number().over(best_first("qid", "level"))).where(F.col("rl") <= k).drop("tag")
+    cut = scored(items, queries, scoring, (0, k), codes=codes)
+    return cut.withColumn("rl", F.row_number().over(best_first("qid", "level"))).where(F.col("rl") <= k)
+
+
+def drawn(items: DataFrame, queries: DataFrame, m: int, seed: int = 0) -> DataFrame:
+    """qid, id, rr: m items of each query, uniform and without replacement, by a hash of both ids alone.
+
+    Each task keeps its first m of a query before anything is shuffled.
+    """
+    ids = items.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"))
+    asked = queries.select(F.col("vec_id").cast("long").alias("qid"))
+    tag = F.md5(F.concat(F.lit(f"R{seed}:"), F.col("qid").cast("string"), F.lit(":"), F.col("id").cast("string")).cast("binary"))
+    pairs = ids.crossJoin(asked).where("id <> qid").withColumn("tag", tag)
+    return pairs.withColumn("rr", F.row_number().over(W.partitionBy("qid").orderBy("tag", "id"))).where(F.col("rr") <= m).select("qid", "id", "rr")
+
+
+def with_raw(pairs: DataFrame, items: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
+    """pairs of qid and id with raw, the product or distance of their vectors."""
+    from ..functions import vectors as V
+
+    exact = V.dot if metric == "dot" else V.euclid
+    held = pairs.join(items.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("x")), "id").join(queries.select(F.col("vec_id").cast("long").alias("qid"), F.col("embedding").alias("q")), "qid")
+    return held.withColumn("raw", exact(F.col("x"), F.col("q"))).drop("x", "q")
 
 
 def sample(items: DataFrame, queries: DataFrame, scoring: Scoring, m: int, seed: int = 0) -> DataFrame:
-    """m items of each query, uniform and without replacement; rr counts from 1, and each prefix is a sample."""
-    cut = scored(items, queries, scoring, ("sample", m, seed))
-    return cut.withColumn("rr", F.row_number().over(W.partitionBy("qid").orderBy("tag", "id"))).where(F.col("rr") <= m)
+    """drawn's rows with sim; each prefix by rr is a sample."""
+    return with_raw(drawn(items, queries, m, seed), items, queries, scoring.metric).select("qid", "id", scoring.sim(F.col("raw")).alias("sim"), "rr")
+
+
+def cuts(items: DataFrame, queries: DataFrame, metric: str, top: int, level: int, m: int, seed: int = 0) -> DataFrame:
+    """qid, id, raw, level and rk, rl, rr: all that estimators retrieve, by one scoring of all pairs.
+
+    rk is null beyond the top rows, rl beyond the best of a level, rr outside of the sample. Scoring functions of one
+    metric that rank items alike share these.
+    """
+    best = (F.col("raw").desc() if metric == "dot" else F.col("raw").asc(), F.col("id").desc())
+    rows = raw_pairs(items, queries, metric, (top, level))
+    rows = rows.withColumn("rk", F.row_number().over(W.partitionBy("qid").orderBy(*best))).withColumn("rl", F.row_number().over(W.partitionBy("qid", "level").orderBy(*best)))
+    rows = rows.withColumns({"rk": F.when(F.col("rk") <= top, F.col("rk")), "rl": F.when(F.col("rl") <= level, F.col("rl"))}).where("rk is not null or rl is not null")
+    some = with_raw(drawn(items, queries, m, seed), items, queries, metric)
+    nothing = F.lit(None).cast("int")
+    return rows.withColumn("rr", nothing).unionByName(some.select("qid", "id", "raw", nothing.alias("level"), nothing.alias("rk"), nothing.alias("rl"), "rr"))
 
 
 def population(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -131,30 +186,45 @@ def population(items: DataFrame, queries: DataFrame) -> DataFrame:
 # -- approximate search: int8 codes first, exact scores for the best of those
 
 
-def quantised(items: DataFrame, low: float, high: float) -> DataFrame:
-    """vec_id and code: elements cut to [low, high] and put on 255 steps."""
-    step = (high - low) / 254.0
-    code = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round((F.least(F.greatest(x, F.lit(low)), F.lit(high)) - low) / step).cast("double") * step + low)
-    return items.select("vec_id", code.alias("embedding"))
-
+def code_range(items: DataFrame, share: float = 0.99) -> tuple[float, float]:
+    """The range that holds that share of all elements, about; what is outside is cut to it."""
+    edge = (1 - share) / 2
+    low, high = items.select(F.explode("embedding").alias("x")).agg(F.percentile_approx("x", [edge, 1 - edge], 10_000)).first()[0]
+    return float(low), float(high)
 
-def approximate(items: DataFrame, queries: DataFrame, scoring: Scoring, k: int, low: float = -0.4, high: float = 0.4, oversample: float = 2.5) -> DataFrame:
-    """Top k of the exact scores among the oversample * k best by coded vectors."""
-    from ..functions import vectors as V
 
-    coarse = top(quantised(items, low, high), queries, scoring, int(k * oversample)).select("qid", "id")
-    exact = V.dot if scoring.metric == "dot" else V.euclid
-    held = coarse.join(items.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), "id").join(queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
-    again = held.select("qid", "id", scoring.sim(exact(F.col("x"), F.col("q"))).alias("sim"))
+def approximate(items: DataFrame, queries: DataFrame, scoring: Scoring, k: int, low: float | None = None, high: float | None = None, oversample: float = 2.5) -> DataFrame:
+    """Top k of the exact scores among the oversample * k best by coded vectors, a byte an element."""
+    codes = code_range(items) if low is None or high is None else (low, high)
+    coarse = top(items, queries, scoring, int(k * oversample), codes).select("qid", "id")
+    again = with_raw(coarse, items, queries, scoring.metric).select("qid", "id", scoring.sim(F.col("raw")).alias("sim"))
     return again.withColumn("rk", F.row_number().over(best_first("qid"))).where(F.col("rk") <= k)
 
 
-def approximate_lsh(items: DataFrame, queries: DataFrame, k: int, tables: int = 10, width: float = 1.0, reach: float = 2.0) -> DataFrame:
-    """Top k by Euclidean distance among items that share a bucket of random projections with the query."""
+#: Items that the width of buckets is fitted on, at most; all items are indexed.
+LSH_SAMPLE = 1_000
+
+
+def lsh_width(items: DataFrame, share: float = 0.6) -> float:
+    """A share of the median distance between items of a bounded sample, those with the least hash of their id."""
+    rows = items.where("embedding is not null").orderBy(F.xxhash64(F.col("vec_id").cast("long")), "vec_id").limit(LSH_SAMPLE).select("embedding").collect()
+    x = np.array([r[0] for r in rows], float)
+    if len(x) < 2:
+        return 1.0
+    square = (x * x).sum(axis=1)
+    apart = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))[np.triu_indices(len(x), 1)]
+    return max(share * float(np.median(apart)), 1e-9)
+
+
+def approximate_lsh(items: DataFrame, queries: DataFrame, k: int, tables: int = 10, width: float | None = None) -> DataFrame:
+    """Top k by Euclidean distance among items that share a bucket of random projections with the query.
+
+    Where all items are about as far from each other, no width tells near from far, and most pairs meet.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     x, q = (t.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v")) for t in (items, queries))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(x)
-    near = model.approxSimilarityJoin(x, q, reach, "d").select(F.col("datasetB.vec_id").alias("qid"), F.col("datasetA.vec_id").alias("id"), (-F.col("d")).alias("sim")).where("qid <> id")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width or lsh_width(items), numHashTables=tables, seed=7).fit(x)
+    near = model.approxSimilarityJoin(x, q, float("inf"), "d").select(F.col("datasetB.vec_id").alias("qid"), F.col("datasetA.vec_id").alias("id"), (-F.col("d")).alias("sim")).where("qid <> id")
     return near.withColumn("rk", F.row_number().over(best_first("qid"))).where(F.col("rk") <= k)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import ALL, Scoring
+from ..functions.scoring import SETTINGS, Scoring
 from ..functions.text import method_name
 from ..operators import estimators as E
 from ..operators import retrieve as R
+from ..sources.tables import shared_folder
 
 
 @dataclass(frozen=True)
@@ -33,12 +35,13 @@ class Task:
     params: tuple[float, ...]
 
 
-def estimates(task: Task, grid: Grid = Grid()) -> DataFrame:
-    """method, qid, param, estimate for all estimators."""
+def estimates(task: Task, grid: Grid = Grid(), cuts: DataFrame | None = None) -> DataFrame:
+    """method, qid, param, estimate for all estimators. cuts: what R.cuts retrieved for the scoring function's metric."""
     items, queries, s, params = task.items, task.queries, task.scoring, list(task.params)
-    top = R.top(items, queries, s, max(grid.tops))
-    u = R.top_by_level(items, queries, s, max(grid.levels))
-    some = R.sample(items, queries, s, max(grid.samples))
+    if cuts is None:
+        cuts = retrieved(items, queries, s.metric, grid)
+    rows = cuts.withColumn("sim", s.sim(F.col("raw")))
+    top, u, some = (rows.where(F.col(place).isNotNull()).select("qid", "id", "sim", *more, place) for place, more in (("rk", ["level"]), ("rl", ["level"]), ("rr", [])))
     n, maxes = R.population(items, queries), E.max_sim(top)
     cut = ["method", "qid", "param", "estimate"]
     named = lambda df, name, *by: df.withColumn("method", method_name(F.lit(name), *map(F.col, by))).select(cut)
@@ -50,15 +53,26 @@ def estimates(task: Task, grid: Grid = Grid()) -> DataFrame:
     )
 
 
-def run(items: DataFrame, queries: DataFrame, grid: Grid = Grid(), settings: tuple[str, ...] = ("kde", "softmax", "ball")) -> DataFrame:
-    """setting, method, qid, param, estimate, true_sum, rel_error."""
+def retrieved(items: DataFrame, queries: DataFrame, metric: str, grid: Grid) -> DataFrame:
+    """R.cuts, kept: a few hundred rows a query."""
+    shared_folder(items.sparkSession)
+    return R.cuts(items, queries, metric, max(grid.tops), max(grid.levels), max(grid.samples)).checkpoint()
+
+
+def run(items: DataFrame, queries: DataFrame, grid: Grid = Grid(), settings: Mapping[str, tuple[Scoring, tuple[float, ...]]] = SETTINGS) -> DataFrame:
+    """setting, method, qid, param, estimate, true_sum, rel_error, for any scoring functions and their grids.
+
+    Every metric is searched once: similarity falls with distance in all settings, so these rank items alike.
+    """
     from ..operators.evaluate import relative_error
 
+    cuts: dict[str, DataFrame] = {}
     out = None
-    for name in settings:
-        s = ALL[name]
-        task = Task(items, queries, s, s.params)
-        rows = estimates(task, grid).join(E.true_sum(items, queries, s, list(s.params)), ["qid", "param"], "left").withColumn("setting", F.lit(name))
+    for name, (s, params) in settings.items():
+        if s.metric not in cuts:
+            cuts[s.metric] = retrieved(items, queries, s.metric, grid)
+        rows = estimates(Task(items, queries, s, tuple(params)), grid, cuts[s.metric])
+        rows = rows.join(E.true_sum(items, queries, s, list(params)), ["qid", "param"], "left").withColumn("setting", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out.select("setting", "method", "qid", "param", "estimate", "true_sum", relative_error(F.col("estimate"), F.col("true_sum")).alias("rel_error"))
 
@@ -68,12 +82,20 @@ def wide(results: DataFrame, value: str = "estimate") -> DataFrame:
     return results.groupBy("setting", "method", "qid").pivot("param").agg(F.first(value))
 
 
-def timed(spark: SparkSession, items: DataFrame, queries: DataFrame, scoring: Scoring, grid: Grid = Grid()) -> DataFrame:
-    """method, seconds of retrieval for each estimator's largest setting."""
-    jobs = {"our": lambda: R.top_by_level(items, queries, scoring, max(grid.levels)), "topk": lambda: R.top(items, queries, scoring, max(grid.tops)), "random": lambda: R.sample(items, queries, scoring, max(grid.samples))}
+def timed(spark: SparkSession, items: DataFrame, queries: DataFrame, grid: Grid = Grid(), settings: Mapping[str, tuple[Scoring, tuple[float, ...]]] = SETTINGS) -> DataFrame:
+    """setting, method, seconds: each estimator's largest case with one parameter, retrieval and sum."""
     rows = []
-    for name, job in jobs.items():
-        began = time.perf_counter()
-        job().write.format("noop").mode("overwrite").save()
-        rows.append((name, time.perf_counter() - began))
-    return spark.createDataFrame(rows, "method string, seconds double")
+    k, level, m = max(grid.tops), max(grid.levels), max(grid.samples)
+    for name, (s, params) in settings.items():
+        one = [params[len(params) // 2]]
+        n = R.population(items, queries)
+        top, some = (lambda s=s: R.top(items, queries, s, k)), (lambda s=s: R.sample(items, queries, s, m))
+        jobs = {
+            f"our_{level}": lambda: E.level_estimate(R.top_by_level(items, queries, s, level), n, s, one, [level]), f"topk_{k}": lambda: E.topk_estimate(top(), s, one, [k]),
+            f"random_{m}": lambda: E.random_estimate(some(), E.max_sim(R.top(items, queries, s, 1)), n, s, one, [m]), f"combined_{k}_{m}": lambda: E.combined_estimate(top(), some(), n, s, one, [k], [m]),
+        }
+        for method, job in jobs.items():
+            began = time.perf_counter()
+            job().write.format("noop").mode("overwrite").save()
+            rows.append((name, method, time.perf_counter() - began))
+    return spark.createDataFrame(rows, "setting string, method string, seconds double")

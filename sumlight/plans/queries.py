@@ -6,6 +6,7 @@ Searches ask for every item whose id is divisible by 50 and run against all item
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,7 +16,7 @@ from ..functions import levels as L
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.encoders import encode, hashing
-from ..functions.scoring import ALL, BALL, GRIDS, KDE, SOFTMAX, Scoring, powers
+from ..functions.scoring import ALL, BALL, KDE, SETTINGS, SOFTMAX, Scoring, powers
 from ..operators import estimators as E
 from ..operators import evaluate as X
 from ..operators import retrieve as R
@@ -64,7 +65,9 @@ def _scores(s: Scoring, vectors: str = "embedding::double[]") -> str:
 
 
 def _params(values: list | tuple, name: str, kind: str = "double") -> str:
-    return f"(select unnest({list(values)}::{kind}[]) as {name})"
+    # With an exponent a literal is a double from the start, not a decimal.
+    items = ", ".join(repr(v) if isinstance(v, int) or "e" in repr(v) else f"{v!r}e0" for v in values)
+    return f"(select unnest([{items}]::{kind}[]) as {name})"
 
 
 def _top(k: int) -> str:
@@ -123,7 +126,7 @@ def l2_normalise(spark, d):
 _STRIP = r"regexp_replace(regexp_replace({}, '^[ \t\n\r\f\x0b]+', ''), '[ \t\n\r\f\x0b]+$', '')"
 
 
-@query("text_stream_ids", f"select source || '|' || doc_id as asset_id, length(t)::int as n_chars, md5(t) as text_md5 from (select source, doc_id, {_STRIP.format('coalesce(text, repeat(chr(32), 0))')} as t from documents) where length(t) >= 1 and t <> '0'")
+@query("text_stream_ids", f"select source || '|' || doc_id as asset_id, length(t)::int as n_chars, md5(t) as text_md5 from (select source, doc_id, {_STRIP.format('coalesce(text, repeat(chr(32), 0))')} as t from documents) where length(t) >= 1")
 def text_stream_ids(spark, d):
     rows = S.text_items(S.table(spark, d, "documents"), ["text"], ["source", "doc_id"])
     return rows.select("asset_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -329,6 +332,19 @@ def ann_lsh(spark, d):
     return R.approximate_lsh(*_items(spark, d), 25).select("qid", "rk", "id", r6(F.col("sim")).alias("sim"))
 
 
+@query("ann_lsh_recall")
+def ann_lsh_recall(spark, d):
+    items, queries = _items(spark, d)
+    return X.recall_statistics(X.recalls(R.top(items, queries, BALL, 25), R.approximate_lsh(items, queries, 25), ["qid"], [25]), "k")
+
+
+@query("ann_fitted_recall")
+def ann_fitted_recall(spark, d):
+    """Codes on the range that holds 0.99 of the elements, as measured."""
+    items, queries = _items(spark, d)
+    return X.recall_statistics(X.recalls(R.top(items, queries, SOFTMAX, 25), R.approximate(items, queries, SOFTMAX, 25), ["qid"], [25]), "k")
+
+
 @query("level_weights", f"with {_scores(KDE)}, {_levels(max(KS))}, {_WEIGHTS} select qid, k, id, level, p from w")
 def level_weights(spark, d):
     return E.level_weights(R.top_by_level(*_items(spark, d), KDE, max(KS)), KS).select("qid", "k", "id", "level", "p")
@@ -395,17 +411,17 @@ _CURVE = (
 def recall_curve(spark, d):
     items, queries = _items(spark, d)
     truth = R.top_by_level(items, queries, SOFTMAX, 20).withColumnRenamed("rl", "rk")
-    found = R.top_by_level(R.quantised(items, *CODES), queries, SOFTMAX, 20).withColumnRenamed("rl", "rk")
+    found = R.top_by_level(items, queries, SOFTMAX, 20, CODES).withColumnRenamed("rl", "rk")
     return _rounded(X.recall_statistics(X.recalls(truth, found, ["qid", "level"], [5, 10, 20]), "k", "level"), "mean", "std", "interval")
 
 
 # -- the experiment and its statistics
 
 
-def _experiment_sql(settings: tuple[str, ...] = tuple(ALL)) -> str:
+def _experiment_sql() -> str:
     parts = []
-    for name in settings:
-        s = ALL[name]
+    for name, (scoring, params) in SETTINGS.items():
+        s = replace(scoring, params=params)
         rows = " union all ".join([
             f"select 'our_' || k as method, qid, param, estimate from ({_level_sql(s)})", f"select 'topk_' || k, qid, param, estimate from ({_topk_sql(s)})",
             f"select 'random_' || r, qid, param, estimate from ({_random_sql(s)})", f"select 'combined_' || k || '_' || r, qid, param, estimate from ({_combined_sql(s)})",
@@ -419,41 +435,64 @@ def experiment_sum_estimates(spark, d):
     return _rounded(experiment.run(*_items(spark, d)).drop("rel_error"), "estimate", "true_sum")
 
 
-@query("relative_error", f"with {_experiment_sql(('softmax',))} select method, qid, param, round(rel_error, 6) + 0.0 as rel_error from results")
+@query("relative_error", f"with {_experiment_sql()} select setting, method, qid, param, round(rel_error, 6) + 0.0 as rel_error from results")
 def relative_error(spark, d):
-    return _rounded(experiment.run(*_items(spark, d), settings=("softmax",)).select("method", "qid", "param", "rel_error"), "rel_error")
+    return _rounded(experiment.run(*_items(spark, d)).select("setting", "method", "qid", "param", "rel_error"), "rel_error")
 
 
-@query("method_split", f"with {_experiment_sql(('softmax',))} select distinct method, split_part(method, '_', 1) as alg, substr(method, instr(method, '_') + 1) as label from results")
+@query("method_split", f"with {_experiment_sql()} select distinct method, split_part(method, '_', 1) as alg, substr(method, instr(method, '_') + 1) as label from results")
 def method_split(spark, d):
     alg, label = T.method_parts(F.col("method"))
-    return experiment.run(*_items(spark, d), settings=("softmax",)).select("method").distinct().select("method", alg.alias("alg"), label.alias("label"))
+    return experiment.run(*_items(spark, d)).select("method").distinct().select("method", alg.alias("alg"), label.alias("label"))
 
 
-_MEDIANS = "medians as (select method, param, case when count(rel_error) * 4 >= count(*) then quantile_cont(rel_error, 0.5) end as median_error, count(rel_error) as n from results group by method, param)"
+_MEDIANS = "medians as (select setting, method, param, case when count(rel_error) * 4 >= count(*) then quantile_cont(rel_error, 0.5) end as median_error, count(rel_error) as n from results group by setting, method, param)"
 
 
 def _medians(spark, d) -> DataFrame:
-    return X.median_errors(experiment.run(*_items(spark, d), settings=("softmax",)), "method", "param")
+    return X.median_errors(experiment.run(*_items(spark, d)), "setting", "method", "param")
 
 
-@query("median_rel_error", f"with {_experiment_sql(('softmax',))}, {_MEDIANS} select method, param, round(median_error, 6) + 0.0 as median_error, n from medians")
+@query("median_rel_error", f"with {_experiment_sql()}, {_MEDIANS} select setting, method, param, round(median_error, 6) + 0.0 as median_error, n from medians")
 def median_rel_error(spark, d):
     return _rounded(_medians(spark, d), "median_error")
 
 
-@query("quality_curve", f"with {_experiment_sql(('softmax',))}, {_MEDIANS} select split_part(method, '_', 1) as alg, method, round(log10(param), 6) + 0.0 as log_param, round(median_error, 6) + 0.0 as median_error from medians")
+@query("quality_curve", f"with {_experiment_sql()}, {_MEDIANS} select setting, split_part(method, '_', 1) as alg, method, round(log10(param), 6) + 0.0 as log_param, round(median_error, 6) + 0.0 as median_error from medians")
 def quality_curve(spark, d):
-    return _medians(spark, d).select(T.method_parts(F.col("method"))[0].alias("alg"), "method", r6(F.log10("param")).alias("log_param"), r6(F.col("median_error")).alias("median_error"))
+    return _medians(spark, d).select("setting", T.method_parts(F.col("method"))[0].alias("alg"), "method", r6(F.log10("param")).alias("log_param"), r6(F.col("median_error")).alias("median_error"))
 
 
-@query("worst_param_tradeoff", f"with {_experiment_sql(('softmax',))}, {_MEDIANS}, worst as (select method, arg_max(param, (coalesce(median_error, 0.0), -param)) as param, max(coalesce(median_error, 0.0)) as worst_error from medians group by method), placed as (select r.method, r.rel_error, row_number() over (partition by r.method order by r.rel_error) - 1 as place, count(*) over (partition by r.method) as size from results r join worst w on r.method = w.method and r.param = w.param where rel_error is not null) select w.method, w.param, round(w.worst_error, 6) + 0.0 as worst_error, round(max(rel_error) filter (place = floor(size * 0.4)), 6) + 0.0 as low, round(max(rel_error) filter (place = floor(size * 0.6)), 6) + 0.0 as high from worst w join placed on placed.method = w.method group by w.method, w.param, w.worst_error")
-def worst_param_tradeoff(spark, d):
+_TRADEOFF = """
+worst as (
+  select setting, method, arg_max(param, (coalesce(median_error, 0.0), -param)) as param, max(coalesce(median_error, 0.0)) as worst_error
+  from medians group by setting, method),
+placed as (
+  select r.setting, r.method, r.rel_error, row_number() over (partition by r.setting, r.method order by r.rel_error) - 1 as place,
+         count(*) over (partition by r.setting, r.method) as size
+  from results r join worst w on r.setting = w.setting and r.method = w.method and r.param = w.param where rel_error is not null)
+select w.setting, w.method, w.param, round(worst_error, 6) + 0.0 as worst_error,
+       round(max(rel_error) filter (place = floor(size * 0.4)), 6) + 0.0 as low, round(max(rel_error) filter (place = floor(size * 0.6)), 6) + 0.0 as high
+from worst w join placed p on w.setting = p.setting and w.method = p.method group by w.setting, w.method, w.param, worst_error"""
+
+
+def _tradeoff(spark, d) -> DataFrame:
     S.shared_folder(spark)
-    results = experiment.run(*_items(spark, d), settings=("softmax",)).select("method", "param", "rel_error").checkpoint()
-    worst = X.worst(X.median_errors(results, "method", "param"), "method")
-    at = X.order_statistics(results.join(worst.select("method", "param"), ["method", "param"]), "rel_error", ["method"], 0.4, 0.6)
-    return _rounded(worst.join(at.select("method", "low", "high"), "method"), "worst_error", "low", "high")
+    results = experiment.run(*_items(spark, d)).select("setting", "method", "param", "rel_error").checkpoint()
+    worst = X.worst(X.median_errors(results, "setting", "method", "param"), "setting", "method")
+    at = X.order_statistics(results.join(worst.select("setting", "method", "param"), ["setting", "method", "param"]), "rel_error", ["setting", "method"], 0.4, 0.6)
+    return _rounded(worst.join(at.select("setting", "method", "low", "high"), ["setting", "method"]), "worst_error", "low", "high")
+
+
+@query("worst_param_tradeoff", f"with {_experiment_sql()}, {_MEDIANS}, {_TRADEOFF}")
+def worst_param_tradeoff(spark, d):
+    return _tradeoff(spark, d)
+
+
+@query("time_error_tradeoff")
+def time_error_tradeoff(spark, d):
+    """Of each estimator's largest case: its seconds, and its error at its worst parameter."""
+    return experiment.timed(spark, *_items(spark, d)).join(_tradeoff(spark, d), ["setting", "method"])
 
 
 @query("time_ci", "select event_type, round(quantile_cont(value, 0.5), 6) + 0.0 as median, round(max(value) filter (place = floor(size * 0.4)), 6) + 0.0 as low, round(max(value) filter (place = floor(size * 0.6)), 6) + 0.0 as high, count(*) as n from (select event_type, value, row_number() over (partition by event_type order by value) - 1 as place, count(*) over (partition by event_type) as size from events where value is not null) group by event_type")
@@ -463,7 +502,7 @@ def time_ci(spark, d):
 
 @query("time_estimates")
 def time_estimates(spark, d):
-    return experiment.timed(spark, *_items(spark, d), SOFTMAX)
+    return experiment.timed(spark, *_items(spark, d))
 
 
 @query("combine_results", f"with {_scores(SOFTMAX)} select qid, param, round(true_sum, 6) + 0.0 as true_sum from ({_truth(SOFTMAX)})")
@@ -516,13 +555,14 @@ def mean_pool(spark, d):
     words = F.split(F.coalesce("text", F.lit("")), r"\s+")
     states = F.transform(words, lambda w: F.array(F.length(w).cast("double"), (F.crc32(w.cast("binary")) % 100).cast("double")))
     mask = F.transform(words, lambda w: (F.length(w) > 0).cast("double"))
-    return S.table(spark, d, "benchmark").select("item_id", V.mean_pool(states, mask).alias("pooled"))
+    return S.table(spark, d, "documents").select("doc_id", V.mean_pool(states, mask).alias("pooled"))
 
 
 @query("encode_text")
 def encode_text(spark, d):
-    rows = S.text_items(S.table(spark, d, "benchmark"), ["text"], ["item_id"])
-    return encode(rows, lambda: hashing(32), 32, normalise=True).select("asset_id", r6(V.norm(F.col("embedding"))).alias("norm"))
+    rows = S.text_items(S.table(spark, d, "documents"), ["text"], ["source", "doc_id"])
+    v = F.col("embedding")
+    return encode(rows, lambda: hashing(32), 32, normalise=True).select("asset_id", r6(V.norm(v)).alias("norm"), *[r6(F.element_at(v, i)).alias(f"element_{i}") for i in (1, 16, 32)])
 
 
 @query("stream_ingest")

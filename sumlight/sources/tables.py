@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; where it names none, one of the driver's."""
+    """The folder for checkpoints that the cluster names; in local mode, where it names none, one of this machine's."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
             import tempfile
 
             named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
@@ -46,11 +48,28 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"no column {', '.join(missing)}; there are {', '.join(df.columns)}")
 
 
-def text_items(df: DataFrame, columns: list[str], ids: list[str], min_chars: int = 1) -> DataFrame:
-    """asset_id and text: truthy columns joined and stripped, short ones dropped; ids joined by |."""
-    require(df, *columns, *ids)
-    out = df.select(T.clean_id(T.joined_id(*[F.col(c) for c in ids])).alias("asset_id"), T.joined_text(*[F.col(c) for c in columns]).alias("text"))
-    return out.where(F.length("text") >= min_chars)
+def text_items(df: DataFrame, columns: list[str], ids: list[str], min_chars: int = 1, order: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """asset_id and text: truthy columns joined and stripped, short ones dropped; ids joined by |.
+
+    A row without an id is (unknown) or, with the column that rows are ordered by, its place in that order, from 0.
+    An observation gets the numbers of rows written and skipped.
+    """
+    require(df, *columns, *ids, *([order] if order else []))
+    kinds = dict(df.dtypes)
+    # Numbers are truthy unless 0, strings unless empty.
+    texts = [F.col(c) if kinds[c] == "string" else F.when(F.col(c).cast("string").isin("0", "0.0", "false"), None).otherwise(F.col(c).cast("string")) for c in columns]
+    own = T.stripped_id(T.joined_id(*[F.col(c) for c in ids]))
+    if order:
+        df, own = ordinals(df, order), F.coalesce(own, F.col("ordinal").cast("string"))
+    out = df.select(F.coalesce(own, F.lit("(unknown)")).alias("asset_id"), T.joined_text(*texts).alias("text"))
+    return counted(out, F.length("text") >= min_chars, seen)
+
+
+def counted(rows: DataFrame, use: Column, seen: Observation | None) -> DataFrame:
+    """The rows that are of use; the observation counts them as written, and the others as skipped, when rows are read."""
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.when(use, 1)).alias("written"), F.count(F.when(~F.coalesce(use, F.lit(False)), 1)).alias("skipped"))
+    return rows.where(use)
 
 
 def category_union(categories: dict[str, DataFrame], item: dict[str, str]) -> DataFrame:

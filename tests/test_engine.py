@@ -1,18 +1,26 @@
 """Queries against their SQL, and the identities that estimators must keep."""
 
+import struct
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from sumlight.functions.scoring import BALL, KDE, SOFTMAX
+from sumlight import session
+from sumlight.functions.scoring import BALL, KDE, SOFTMAX, Scoring
 from sumlight.operators import estimators as E
+from sumlight.operators import evaluate as X
 from sumlight.operators import retrieve as R
+from sumlight.plans import experiment
 from sumlight.plans import queries as Q
-from sumlight.sources import synthetic, tables
+from sumlight.sources import images, synthetic, tables
 from sumlight.streaming.ingest import ingest, ingested
 
 SF = "/root/testdata/sf0.001"
-SOME = ["l2_normalise", "text_stream_ids", "shard_manifest", "clean_asset_id", "rarity_levels_all", "max_levels", "level_rotation", "true_sum_kde", "est_combined_ball", "est_level_softmax", "topk_by_level", "recall_at_k", "worst_param_tradeoff", "synthetic_p95", "stream_ingest"]
+SOME = ["l2_normalise", "text_stream_ids", "shard_manifest", "clean_asset_id", "rarity_levels_all", "max_levels", "level_rotation", "true_sum_kde", "est_combined_ball", "random_sample", "ann_int8_rescore", "recall_curve", "experiment_sum_estimates", "est_level_softmax", "topk_by_level", "recall_at_k", "worst_param_tradeoff", "synthetic_p95", "stream_ingest"]
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +83,123 @@ def test_vectors_can_be_made_again(spark):
     assert {r.asset_id: r.embedding for r in synthetic.vectors(spark, 10, 3, begin=6).collect()} == {k: v for k, v in whole.items() if int(k[10:]) >= 6}
 
 
+def test_a_new_scoring_function_is_summed_as_it_is(items):
+    """Without forms for arrays, and through the whole experiment."""
+    half = Scoring("half", "dot", lambda d: d * 0.5, lambda s, m, p: F.exp((s - m) / p))
+    queries, params = R.query_set(items), [0.1, 0.5]
+    truth = {(r.qid, r.param): r.true_sum for r in E.true_sum(items, queries, half, params).collect()}
+    assert truth == pytest.approx({(r.qid, r.param): r.true_sum for r in E.true_sum_generic(items, queries, half, params).collect()})
+    soft = {(r.qid, r.param): r.true_sum for r in E.true_sum(items, queries, SOFTMAX, [0.2, 1.0]).collect()}
+    assert truth == pytest.approx({(q, p / 2): v for (q, p), v in soft.items()})
+    grid = experiment.Grid((5,), (25,), (25,))
+    rows = experiment.run(items, queries, grid, {"mine": (half, tuple(params))}).collect()
+    assert {r.method for r in rows} == {"our_5", "topk_25", "random_25", "combined_25_25"} and all(r.true_sum == pytest.approx(truth[r.qid, r.param]) for r in rows)
+
+
+def test_cuts_are_the_single_searches(items):
+    queries = R.query_set(items)
+    rows = R.cuts(items, queries, "euclid", 30, 5, 20).collect()
+    for place, want in (("rk", R.top(items, queries, KDE, 30)), ("rl", R.top_by_level(items, queries, KDE, 5)), ("rr", R.sample(items, queries, KDE, 20))):
+        assert {(r.qid, r.id, r[place]): -r.raw**2 for r in rows if r[place]} == pytest.approx({(r.qid, r.id, r[place]): r.sim for r in want.collect()})
+
+
+def test_distances_of_near_and_equal_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0 + 1e-7]), (3, [1e6, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: -r.sim for r in R.scored(df, df.where("vec_id = 0"), BALL).collect()}
+    assert got == pytest.approx({1: 0.0, 2: 1e-7, 3: (999999.0**2 + 4) ** 0.5}, rel=1e-6)
+
+
+@pytest.mark.parametrize("name", ["ann_lsh_recall", "ann_fitted_recall"])
+def test_approximate_searches_find_nine_in_ten(spark, name):
+    assert Q.QUERIES[name](spark, SF).first()["mean"] >= 0.9
+
+
+def png(pixels, kinds, colour):
+    height, width, depth = pixels.shape
+    before, lines = np.zeros((height + 1, width + 1, depth), int), b""
+    before[1:, 1:] = pixels
+    for y, kind in enumerate(kinds):
+        left, up, corner = before[y + 1, :-1], before[y, 1:], before[y, :-1]
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = [0 * left, left, up, (left + up) // 2, paeth][kind]
+        lines += bytes([kind]) + ((pixels[y].astype(int) - guess) % 256).astype(np.uint8).tobytes()
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded_counted_and_numbered(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    colour, grey, alpha = (rng.integers(0, 256, (5, 4, n)).astype(np.uint8) for n in (3, 1, 4))
+    ppm = b"P6 4 5\n255\n" + colour.tobytes()
+    (tmp_path / "a.ppm").write_bytes(ppm)
+    rows = [(0, ppm), (1, png(colour, range(5), 2)), (2, b"no image"), (3, png(grey, [4, 3, 2, 1, 0], 0)), (4, None), (5, png(alpha, [0, 1, 4, 4, 3], 6)), (6, png(colour, range(5), 2)[:50])]
+    seen = Observation()
+    got = images.image_items(spark.createDataFrame(rows, "n long, image binary"), "image", order="n", seen=seen).collect()
+    want = {"0": colour, "1": colour, "3": np.repeat(grey, 3, axis=2), "5": alpha[:, :, :3]}
+    assert {r.asset_id: (r.width, r.height, bytes(r.pixels)) for r in got} == {k: (4, 5, v.tobytes()) for k, v in want.items()}
+    assert seen.get == {"written": 4, "skipped": 3}
+    held = spark.createDataFrame([("x", (ppm,))], "id string, image struct<bytes: binary>")
+    assert [r.asset_id for r in images.image_items(held, "image", "id").collect()] == ["x"]
+    urls = spark.createDataFrame([(f"file://{tmp_path}/a.ppm",), (f"file://{tmp_path}/none.ppm",), ("not a url",)], "url string")
+    assert [(r.asset_id[-5:], r.width) for r in images.image_items(urls, "url").collect()] == [("a.ppm", 4)]
+    assert [r.asset_id[-5:] for r in images.image_files(spark, f"{tmp_path}/a.ppm").collect()] == ["a.ppm"]
+
+
+def test_texts_that_are_zero_and_rows_without_ids(spark):
+    rows = [(0, "0", 0, "x\ny"), (1, " a ", 7, None), (2, "", 0, "z"), (3, None, 5, " ")]
+    seen = Observation()
+    df = spark.createDataFrame(rows, "n long, title string, count long, id string")
+    got = sorted((r.asset_id, r.text) for r in tables.text_items(df, ["title", "count"], ["id"], order="n", seen=seen).collect())
+    assert got == [("1", "a  7"), ("3", "5"), ("x y", "0")] and seen.get == {"written": 3, "skipped": 1}
+    assert sorted(r.asset_id for r in tables.text_items(df, ["title", "count"], ["id"]).collect()) == ["(unknown)", "(unknown)", "x y"]
+
+
+def test_shards_and_single_files(spark, tmp_path):
+    rows = synthetic.vectors(spark, 10, 3).coalesce(1)
+    tables.write_shards(rows, f"{tmp_path}/s", 4, raw=True, normalised=True)
+    back = tables.open_items(spark, f"{tmp_path}/s")
+    assert back.count() == 10 and len(list((tmp_path / "s").glob("*.parquet"))) == 3 and "normalised_embedding" in back.columns
+    tables.write_single(rows, f"{tmp_path}/one")
+    assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
+    with pytest.raises(ValueError, match="no rows"):
+        tables.write_single(rows.limit(0), f"{tmp_path}/none")
+    with pytest.raises(ValueError, match="nothing to write"):
+        tables.write_shards(rows, f"{tmp_path}/t", 4, raw=False)
+    (tmp_path / "s" / "part-bad.parquet").write_bytes(b"damaged")
+    assert tables.combine_results(spark, f"{tmp_path}/s").count() == 10
+    (tmp_path / "l.jsonl").write_text('{"title": "t"}\n')
+    assert tables.open_items(spark, f"{tmp_path}/l.jsonl", "json").first().title == "t"
+
+
+def test_a_failed_batch_is_replayed(spark, tmp_path):
+    source, out, failed = f"{tmp_path}/in", f"{tmp_path}/out", []
+    synthetic.vectors(spark, 9, 2).select("asset_id").repartition(3).write.parquet(source)
+
+    def transform(batch):
+        if (tmp_path / "out" / "data" / "batch=0").exists() and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        return batch
+
+    with pytest.raises(Exception, match="lost"):
+        ingest(spark, source, "asset_id string", out, transform)
+    ingest(spark, source, "asset_id string", out, transform)
+    assert failed and sorted(r.asset_id for r in ingested(spark, out).collect()) == [f"synthetic-{i}" for i in range(9)]
+
+
+def test_results_in_wide_form_and_same_methods(spark):
+    rows = spark.createDataFrame([("s", m, q, p, p * q) for m in ("a_1", "b_2") for q in (1, 2) for p in (0.5, 2.0)], "setting string, method string, qid long, param double, estimate double")
+    assert {(r.method, r.qid): (r["0.5"], r["2.0"]) for r in experiment.wide(rows).collect()} == {(m, q): (0.5 * q, 2.0 * q) for m in ("a_1", "b_2") for q in (1, 2)}
+    assert X.same_methods(rows, rows.where("qid = 1")) and not X.same_methods(rows, rows.where("method = 'a_1'"))
+
+
+def test_settings_of_a_session(spark, monkeypatch):
+    monkeypatch.setenv("DATASET_SIZE", "7")
+    assert session.Config().dataset_size == 7 and session.session("x").sparkContext is spark.sparkContext
+
+
 def test_missing_columns_are_named(items):
     with pytest.raises(ValueError, match="vec_id"):
         tables.require(items, "nothing")
