@@ -36,13 +36,15 @@ def free(df: DataFrame, name: str) -> str:
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts and see that checkpoints have a folder.
 
-    The folder is the one that the cluster names; only where none is named (tests), one of the driver's is used.
+    The folder is the one that the cluster names; only in local mode (tests), where none is named, one of this machine's is used.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
             import tempfile
 
             named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
