@@ -479,10 +479,10 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long, sketch binary").checkpoint()
     by_name = rows.where("name is not null").groupBy("name").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
     sketches = rows.where("name is not null").groupBy("name").agg(F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
-    n = ties.count()
-    pairs = narrowed(ties, n).where("not sure").select("a", "b")
+    n_ties = ties.count()
+    pairs = narrowed(ties, n_ties).where("not sure").select("a", "b")
     for side in ("a", "b"):
-        pairs = narrowed(join_spread(pairs, sketches.toDF(side, f"size_{side}", f"sketch_{side}"), side), n).checkpoint()
+        pairs = narrowed(join_spread(pairs, sketches.toDF(side, f"size_{side}", f"sketch_{side}"), side), n_ties).checkpoint()
     near = pairs.mapInArrow(_compared(threshold), "a long, b long").union(ties.where("sure").select("a", "b"))
     clusters = components(near).withColumnRenamed("component", "cluster")
     members = by_name.join(clusters.withColumnRenamed("node", "name"), "name")
