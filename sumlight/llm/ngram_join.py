@@ -496,7 +496,9 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     named = by_name.join(linked, "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").join(links, "name", "left").select("name", "component", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.drop("sketch").join(named, "name", "left")
+    # Copies are many rows of one name, and rows without words have none: neither come together.
+    out = join_spread(rows.drop("sketch").where("name is not null"), named, "name")
+    out = out.unionByName(rows.drop("sketch").where("name is null"), allowMissingColumns=True)
     own = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("rk", "component", "doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
