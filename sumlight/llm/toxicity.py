@@ -8,7 +8,8 @@ bounded by the number of places, whatever the size of the corpus: they are broad
 Learning: labelled rows outside the held-out fifth, at most MOST_ROWS of them and MOST_CHARS characters, those with the
 least hash of doc_id; this is the documented bound of the sample. Of several documents with a labelled id, the one whose
 text has the least hash is learned from. A text that doesn't fit into the rest of the characters is passed over, and if
-none fits, that is an error. Scoring covers every whole text.
+none fits, that is an error. One task learns from the sample, and the driver gets only the weights. Scoring covers every
+whole text.
 
 Nulls and odd rows: a null or empty text has the bias alone as its score; labels that are null or without a document
 are left out; of several labels for one id the largest counts; a null doc_id is scored as any other. With no usable
@@ -88,6 +89,14 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(found, pa.binary())], ["order", "label", "places"])
 
 
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (order, label, places), in that order, as one row."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+    if rows:
+        w = learn([(np.frombuffer(places, np.int32), label) for _, label, places in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([w.places.tobytes()], pa.binary()), pa.array([w.values.tobytes()], pa.binary()), pa.array([w.bias], pa.float64())], ["places", "weights", "bias"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> Weights:
     """Weights from labelled rows outside the held-out fifth."""
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc(F.col("doc_id")) % HELD_OUT != 0))
@@ -106,10 +115,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
             fit.append((order, one))
     if not fit:
         raise ValueError(f"none of the {len(held)} labelled texts has at most {most_chars} characters")
-    # Equal rows become one before anything is collected, so that is most_rows rows at most.
+    # Equal rows become one before one task takes them, so it holds most_rows rows at most; only weights go to the driver.
     chosen = F.broadcast(docs.sparkSession.createDataFrame(fit, "order long, hash long"))
-    rows = joined.join(chosen, ["order", "hash"]).select("order", "label", "text").mapInArrow(_featurise, "order long, label int, places binary").groupBy("order").agg(F.min(F.struct("label", "places")).alias("one")).collect()
-    return learn([(np.frombuffer(r.one["places"], np.int32), r.one["label"]) for r in sorted(rows, key=lambda r: r.order)])
+    rows = joined.join(chosen, ["order", "hash"]).select("order", "label", "text").mapInArrow(_featurise, "order long, label int, places binary").groupBy("order").agg(F.min(F.struct("label", "places")).alias("one"))
+    found = rows.select("order", "one.label", "one.places").repartition(1).mapInArrow(_learned, "places binary, weights binary, bias double").first()
+    return Weights(np.frombuffer(found["places"], np.int32), np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def score(docs: DataFrame, weights: Weights, *keep: str, into: str = "score") -> DataFrame:
