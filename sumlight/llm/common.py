@@ -282,4 +282,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         mark = tuple(row)
     else:
         raise RuntimeError("components didn't settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+    # Each node once, dealt by node; a hub's own rows are one for each task before they are dealt.
+    ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("e"))
+    return ends.select("e.*").groupBy("node").agg(F.min("component").alias("component"))
