@@ -51,6 +51,14 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver give back what earlier plans held: heap, broadcast values, shuffle files and checkpoints.
+
+    Its heap grows to its limit before the collector does that by itself, as single plans leave little.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def part_count(spark: SparkSession, items: int, per_part: int) -> int:
     """Partitions such that none gets many more than per_part items, and two for each core at least.
 
@@ -238,50 +246,100 @@ def join_spread(rows: DataFrame, table: DataFrame, *keys: str, heavy: DataFrame
     """rows joined with a table that has one row for each value of the keys, so that no key's rows come together.
 
     The table's rows for heavy keys, 2**HEAVY at most, are broadcast; the others are joined as Spark chooses. rows is read
-    several times, so it should be cheap to read. heavy: the heavy keys, if they are known.
+    several times, so it should be cheap to read. heavy: the heavy keys, if they are known. Both sides are split by the keys'
+    hashes, so a light key with a heavy one's hash is broadcast too, and nothing else is.
     """
     if heavy is None:
         total = rows.count()
         heavy = rows.groupBy(*keys).count().where(F.col("count") > (total >> HEAVY)).select(*keys)
-    found = heavy.collect()  # 2**HEAVY at most
+    name = F.xxhash64(*[F.col(k).cast(rows.schema[k].dataType) for k in keys])
+    found = [r[0] for r in heavy.select(name).collect()]  # 2**HEAVY at most
     if not found:
         return rows.join(table, list(keys))
-    named = F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema).coalesce(1))
-    few = F.broadcast(table.join(named, list(keys), "left_semi"))
-    rest = rows.join(named, list(keys), "left_anti")
-    return rows.join(few, list(keys)).unionByName(rest.join(table, list(keys)))
+    few = F.broadcast(table.where(name.isin(found)))
+    return rows.where(name.isin(found)).join(few, list(keys)).unionByName(rows.where(~name.isin(found)).join(table, list(keys)))
+
+
+#: Edges that a task of `_forest` holds at a time.
+EDGES = 1_000_000
+
+
+def star_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the given ones do: each node, but the least of its component, with that one."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    least = np.arange(len(nodes))
+    while len(a):
+        # Each root hooks on to the least one next to it, then all nodes get their new root.
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        np.minimum.at(least, high, low)
+        while (least[least] != least).any():
+            least = least[least]
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    some = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[some], nodes[least[some]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v), with those left out that the others make superfluous."""
+    u = v = np.zeros(0, np.int64)
+    more: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        more.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        held += batch.num_rows
+        if held >= EDGES:
+            u, v = star_forest(*(np.concatenate(x) for x in zip((u, v), *more, strict=True)))
+            more, held = [], 0
+            if len(u) >= EDGES:
+                yield out()
+                u = v = np.zeros(0, np.int64)
+    if more:
+        u, v = star_forest(*(np.concatenate(x) for x in zip((u, v), *more, strict=True)))
+    if len(u):
+        yield out()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
-    """node, component (smallest node reachable) for the nodes of undirected edges.
+    """node, component (smallest node reachable) for the nodes of undirected edges, dealt by node.
 
-    Large-star and small-star rounds: a node's least neighbour is found by an aggregation with partial sums first, and
-    meets the node's edges by join_spread, so a hub's edges are never gathered. The edges are cut off from their lineage by
-    checkpoint() in each round. The number of rounds grows with the logarithm of the nodes, squared at worst.
+    Each task first leaves a forest of its own edges. Then large-star and small-star rounds: a node's least neighbour is
+    found by an aggregation with partial sums first, and meets the node's edges by join_spread, so a hub's edges are never
+    gathered. What is left is done when no node has two lesser neighbours, or a lesser and a greater one. The edges are cut
+    off from their lineage by checkpoint() in each round. The number of rounds grows with the logarithm of the nodes, squared
+    at worst. Rounds and jobs are kept few, as each plan costs the driver memory for its code and threads.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct().checkpoint()
-    mark = now.count(), None
-    now = narrowed(now, mark[0])
-
-    def meet(rows: DataFrame, least: Column) -> DataFrame:
-        """rows (u, v) with m, the least of each u."""
-        n = 2 * mark[0]
-        best = narrowed(rows.groupBy("u").agg(least.alias("m"), F.count("*").alias("degree")), n).checkpoint()
+    own = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
+    now = own.mapInArrow(_forest, "u long, v long").distinct().checkpoint()
+    n = 2 * now.count()
+    now = narrowed(now, n)
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        """u with m, the least of its v; degree; and whether it isn't yet an end or the middle of a star."""
+        lesser, greater = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+        open_ = (lesser > 1) | ((lesser > 0) & (greater > 0))
+        return narrowed(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"), open_.alias("open")), n).checkpoint()
+
+    def meet(rows: DataFrame, best: DataFrame) -> DataFrame:
+        """rows (u, v) with m of each u."""
         return join_spread(rows, best.select("u", "m"), "u", heavy=best.where(F.col("degree") > (n >> HEAVY)).select("u"))
 
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = meet(both, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = narrowed(large, 2 * mark[0]).checkpoint()
-        small = meet(large, F.min("v")).where("u > m")
-        now = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        now = narrowed(now, 2 * mark[0]).checkpoint()
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
-    else:
-        raise RuntimeError("components didn't settle")
-    # Each node once, dealt by node; a hub's own rows are one for each task before they are dealt.
-    ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("e"))
-    return ends.select("e.*").groupBy("node").agg(F.min("component").alias("component"))
+        best = nearest(both).withColumn("m", F.least("m", "u"))
+        ended = best.agg(F.sum("degree"), F.max("open")).first()
+        if not ended[1]:
+            return best.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        n = ended[0]
+        large = meet(both, best).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = narrowed(large, n).checkpoint()
+        small = meet(large, nearest(large)).where("u > m")
+        now = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v")
+        now = narrowed(now.mapInArrow(_forest, "u long, v long").distinct(), n).checkpoint()
+        tidy(now.sparkSession)
+    raise RuntimeError("components didn't settle")

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, join_spread, mix, narrow, narrowed, pack_gaps, part_count, part_keys, parts_of, prepare, read, unpack_gaps, widen
+from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, join_spread, mix, narrow, narrowed, pack_gaps, part_count, part_keys, parts_of, prepare, read, tidy, unpack_gaps, widen
 
 #: Tokens that a task takes up at a time; each makes up to two keys, and these are sorted.
 CHUNK = 1_000_000
@@ -483,16 +483,20 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     pairs = narrowed(ties, n_ties).where("not sure").select("a", "b")
     for side in ("a", "b"):
         pairs = narrowed(join_spread(pairs, sketches.toDF(side, f"size_{side}", f"sketch_{side}"), side), n_ties).checkpoint()
+    tidy(spark)
     near = pairs.mapInArrow(_compared(threshold), "a long, b long").union(ties.where("sure").select("a", "b"))
     clusters = components(near).withColumnRenamed("component", "cluster")
     members = by_name.join(clusters.withColumnRenamed("node", "name"), "name")
     placed, pairs = blocks(members, threshold)
+    tidy(spark)
     sets = texts.select("rk", "text").join(placed.select("rk", "name", "cluster", "block", "copies"), "rk").select("name", "cluster", "block", "copies", "text")
     sets = sets.mapInArrow(_shingled(n), "name long, cluster long, block long, copies long, shingles binary")
     both = pairs.select("*", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
     found = sets.join(both, ["cluster", "block"]).groupBy("cluster", "first", "second").applyInArrow(_answer(threshold), "a long, b long, links long").checkpoint()
+    tidy(spark)
     links = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("others"))
     linked = components(found.where("b is not null")).withColumnRenamed("node", "name")
+    tidy(spark)
     named = by_name.join(linked, "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").join(links, "name", "left").select("name", "component", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sumlight.llm import common, decontamination, media, mixing, ngram_join, pii, quality, queries, scoring, secrets, substrings, toxicity
@@ -128,6 +129,38 @@ def test_components_of_stars_paths_and_cycles(spark, monkeypatch, heavy):
     assert got == {**{i: 0 for i in range(41)}, 70: 70, 71: 70, 72: 70, 90: 90, 500: 90, **{i: 90 for i in range(1000, 1400)}}
 
 
+def test_a_spread_join_broadcasts_once(spark):
+    """Each broadcast costs the driver memory and threads; the keys to split by are no table of their own."""
+    rows = spark.range(5000).selectExpr("if(id < 4000, 7, id) as k", "id").checkpoint()
+    table = spark.range(5000).selectExpr("id as k", "-id as v")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = common.join_spread(rows, table, "k")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+        assert sorted(map(tuple, joined.collect())) == sorted((k, i, -k) for i in range(5000) for k in [7 if i < 4000 else i])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+@pytest.mark.parametrize("most", [10**6, 50])
+def test_a_tasks_forest_connects_what_its_edges_do(monkeypatch, most):
+    monkeypatch.setattr(common, "EDGES", most)
+    rng = np.random.default_rng(5)
+    edges = [*rng.integers(0, 300, (400, 2)).tolist(), *[(i, i + 1) for i in range(1000, 1100)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([max(e) for e in some], pa.int64()), pa.array([min(e) for e in some], pa.int64())], ["u", "v"]) for some in (edges[:30], edges[30:200], edges[200:])]
+    left = [(u, v) for b in common._forest(batches) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+
+    def classes(pairs):
+        at = {x: x for p in edges for x in p}
+        for _ in at:
+            for a, b in pairs:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert classes(left) == classes(edges) and all(u > v for u, v in left) and len(left) < len(edges)
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(2)
     for a, b in ((5, 9), (100, 110), (130, 120), (1000, 400)):
