@@ -131,6 +131,10 @@ def test_projections_rank_the_candidates_of_each_block(spark, monkeypatch):
         assert [r.id for r in near.where(f"qid = {q}").orderBy("rk").collect()] == want and len(meets) < 149
 
 
+def test_the_recall_of_projections_sends_no_pairs(spark):
+    assert "hashValue" not in Q.QUERIES["ann_lsh_recall"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def png(pixels, kinds, colour):
     height, width, depth = pixels.shape
     before, lines = np.zeros((height + 1, width + 1, depth), int), b""
