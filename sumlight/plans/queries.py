@@ -476,12 +476,12 @@ select w.setting, w.method, w.param, round(worst_error, 6) + 0.0 as worst_error,
 from worst w join placed p on w.setting = p.setting and w.method = p.method group by w.setting, w.method, w.param, worst_error"""
 
 
-def _tradeoff(spark, d) -> DataFrame:
+def _tradeoff(spark, d, cuts=None) -> DataFrame:
     S.shared_folder(spark)
-    results = experiment.run(*_items(spark, d)).select("setting", "method", "param", "rel_error").checkpoint()
-    worst = X.worst(X.median_errors(results, "setting", "method", "param"), "setting", "method")
-    at = X.order_statistics(results.join(worst.select("setting", "method", "param"), ["setting", "method", "param"]), "rel_error", ["setting", "method"], 0.4, 0.6)
-    return _rounded(worst.join(at.select("setting", "method", "low", "high"), ["setting", "method"]), "worst_error", "low", "high")
+    errors = experiment.error_statistics(*_items(spark, d), cuts=cuts).checkpoint()
+    worst = X.worst(errors, "setting", "method")
+    at = errors.where("n > 0").select("setting", "method", "param", "low", "high")
+    return _rounded(worst.join(at, ["setting", "method", "param"]).select("setting", "method", "param", "worst_error", "low", "high"), "worst_error", "low", "high")
 
 
 @query("worst_param_tradeoff", f"with {_experiment_sql()}, {_MEDIANS}, {_TRADEOFF}")
@@ -492,7 +492,8 @@ def worst_param_tradeoff(spark, d):
 @query("time_error_tradeoff")
 def time_error_tradeoff(spark, d):
     """Of each estimator's largest case: its seconds, and its error at its worst parameter."""
-    return experiment.timed(spark, *_items(spark, d)).join(_tradeoff(spark, d), ["setting", "method"])
+    seconds, cuts = experiment.timed_and_cuts(spark, *_items(spark, d))
+    return seconds.join(_tradeoff(spark, d, cuts), ["setting", "method"])
 
 
 @query("time_ci", "select event_type, round(quantile_cont(value, 0.5), 6) + 0.0 as median, round(max(value) filter (place = floor(size * 0.4)), 6) + 0.0 as low, round(max(value) filter (place = floor(size * 0.6)), 6) + 0.0 as high, count(*) as n from (select event_type, value, row_number() over (partition by event_type order by value) - 1 as place, count(*) over (partition by event_type) as size from events where value is not null) group by event_type")

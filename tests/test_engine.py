@@ -11,6 +11,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sumlight import session
+from sumlight.functions import hashes
 from sumlight.functions.scoring import BALL, KDE, SOFTMAX, Scoring
 from sumlight.operators import estimators as E
 from sumlight.operators import evaluate as X
@@ -163,6 +164,76 @@ def test_timing_searches_a_metric_once(spark, monkeypatch):
     assert {(r.setting, r.method) for r in rows} == {(s, m) for s in settings for m in ("our_5", "topk_10", "random_10", "combined_10_10")} and all(r.seconds > 0 for r in rows)
 
 
+def test_the_tradeoff_searches_no_more_than_its_timing(spark, monkeypatch):
+    """What was retrieved for the seconds serves the errors too, and a metric's items are scored once more for all sums."""
+    asked = []
+    raw_pairs, drawn, sums = R.raw_pairs, R.drawn, E.true_sum
+    monkeypatch.setattr(R, "raw_pairs", lambda items, queries, metric, *a, **b: asked.append(metric) or raw_pairs(items, queries, metric, *a, **b))
+    monkeypatch.setattr(R, "drawn", lambda *a, **b: asked.append("drawn") or drawn(*a, **b))
+    monkeypatch.setattr(E, "true_sum", lambda *a, **b: asked.append("sum") or sums(*a, **b))
+    rows = Q.QUERIES["time_error_tradeoff"](spark, SF).collect()
+    assert sorted(asked) == ["dot"] * 3 + ["drawn"] + ["euclid"] * 3
+    want = {(r.setting, r.method): r for r in Q.QUERIES["worst_param_tradeoff"](spark, SF).where("method in ('our_40', 'topk_200', 'random_200', 'combined_200_200')").collect()}
+    assert {(r.setting, r.method) for r in rows} == set(want) and all([r[c] for c in ("param", "worst_error", "low", "high")] == [want[r.setting, r.method][c] for c in ("param", "worst_error", "low", "high")] for r in rows)
+
+
+@pytest.mark.parametrize("at_once", [2, 256])
+def test_error_statistics_are_those_of_the_single_rows(items, monkeypatch, at_once):
+    """Of blocks of 60 items; parameters so small that no item is in the ball, so that errors are null."""
+    monkeypatch.setattr(R, "BLOCK_BYTES", 8 * 64 * 60)
+    monkeypatch.setattr(E, "ERRORS_AT_ONCE", at_once)
+    grid = experiment.Grid((3, 40), (5, 200), (4, 300))
+    settings = {"k": (KDE, (0.1, 0.5, 2.0)), "b": (BALL, (0.01, 1.2, 1.3, 9.0)), "s": (SOFTMAX, (0.001, 0.1)), "again": (KDE, (0.3,))}
+    queries = R.query_set(items)
+    got = {(r.setting, r.method, r.param): r for r in experiment.error_statistics(items, queries, grid, settings).collect()}
+    rows = experiment.run(items, queries, grid, settings).checkpoint()
+    by = ["setting", "method", "param"]
+    want = X.median_errors(rows, *by).join(X.order_statistics(rows, "rel_error", by, 0.4, 0.6).select(*by, "low", "high"), by, "left").collect()
+    assert len(got) == len(want) == (2 + 2 + 2 + 4) * 10
+    for r in want:
+        have = got[r.setting, r.method, r.param]
+        for c in ("n", "median_error", "low", "high"):
+            assert have[c] is None if r[c] is None else have[c] == pytest.approx(r[c], rel=1e-9, abs=1e-12)
+
+
+def test_heads_of_many_hashes():
+    """Of every length of beginning and ending, also of more than one block."""
+    ids = np.array([0, 5, -7, 10, 99, 100, 12345, 123456, 2**63 - 1, -(2**63)])
+    ends = hashes.Endings(ids.astype("S"))
+    for begin in ("", "R", "R0:5:", "R0:50:", "R0:500:", "R12:123456789:", "x" * 50):
+        assert ends.heads(begin.encode()).tolist() == [int(hashlib.md5(f"{begin}{i}".encode()).hexdigest()[:8], 16) for i in ids.tolist()]
+
+
+@pytest.mark.parametrize(("metric", "keep"), [("euclid", (5, 0)), ("dot", (0, 2)), ("euclid", (3, 2)), ("dot", (500, 500))])
+def test_kept_pairs_are_the_best_with_ties(spark, monkeypatch, metric, keep):
+    monkeypatch.setattr(R, "BLOCK_BYTES", 8 * 3 * 1000)
+    x = np.random.default_rng(2).integers(0, 2, (200, 3)).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    all_rows = R.raw_pairs(df, R.query_set(df), metric).collect()
+    got = {(r.qid, r.id) for r in R.raw_pairs(df, R.query_set(df), metric, keep).collect()}
+    want = set()
+    for q in range(0, 200, 50):
+        rows = sorted((r for r in all_rows if r.qid == q), key=lambda r: (-r.raw if metric == "dot" else r.raw, -r.id))
+        want |= {(q, r.id) for r in rows[: keep[0]]}
+        for level in {r.level for r in rows}:
+            want |= {(q, r.id) for r in [r for r in rows if r.level == level][: keep[1]]}
+    assert got == want
+
+
+def test_queries_of_many_files_lie_in_few_partitions(spark, tmp_path):
+    """Each of these reads and packs all items again."""
+    spark.range(1200).selectExpr("id as vec_id", "array(double(id), 1d) as embedding").repartition(24).write.option("maxRecordsPerFile", 50).parquet(f"{tmp_path}/many")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        items = spark.read.parquet(f"{tmp_path}/many")
+        assert items.rdd.getNumPartitions() > 20
+        asked = R.asked_blocks(R.query_set(items))
+        assert asked.rdd.getNumPartitions() == 2 and sum(len(r.q_ids) for r in asked.collect()) == 24 * 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def png(pixels, kinds, colour):
     height, width, depth = pixels.shape
     before, lines = np.zeros((height + 1, width + 1, depth), int), b""
