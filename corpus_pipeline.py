@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumlight.llm import decontamination, mixing, ngram_join, pii, toxicity
-from sumlight.llm.common import free, prepare, read
+from sumlight.llm.common import free, prepare, read, tidy_executors
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*docs.columns, *(c.alias(free(docs, name)) for name, c in new.items()))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("pii", replace_pii),
-    ("mixing", mix_sources),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def fresh(stage: Stage) -> Stage:
+    """The stage, begun with executors' heaps that hold no more than is in use."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", fresh(drop_toxic)),
+    ("near_copies", drop_near_copies),  # it does so itself
+    ("decontamination", fresh(drop_contaminated)),
+    ("pii", fresh(replace_pii)),
+    ("mixing", fresh(mix_sources)),
 ]
 
 #: A trained classifier is no SQL; tests hold the stages against brute force.

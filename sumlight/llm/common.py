@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -59,6 +61,39 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy_executors(spark: SparkSession) -> None:
+    """Let the executors' heaps shrink to what is in use, as tidy() does with the driver's, by a task for each core.
+
+    A heap keeps the size to which an earlier step's tasks have made it grow, and Python's workers need memory beside it.
+    In local mode the driver's heap is the only one.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        spark.range(0, sc.defaultParallelism, 1, sc.defaultParallelism).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+def give_back() -> None:
+    """Return what Arrow and malloc hold in reserve to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where malloc isn't glibc's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, after which its Python worker keeps only what is in use.
+
+    Spark keeps a worker for later tasks, takes up the one that has waited longest, and may have twice as many as it has
+    cores, as some tasks need two. Without this each of them holds on to the most that any of its tasks needed.
+    """
+    def ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ending
+
+
 def part_count(spark: SparkSession, items: int, per_part: int) -> int:
     """Partitions such that none gets many more than per_part items, and two for each core at least.
 
@@ -315,7 +350,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     at worst. Rounds and jobs are kept few, as each plan costs the driver memory for its code and threads.
     """
     own = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
-    now = own.mapInArrow(_forest, "u long, v long").distinct().checkpoint()
+    now = own.mapInArrow(giving_back(_forest), "u long, v long").distinct().checkpoint()
     n = 2 * now.count()
     now = narrowed(now, n)
 
@@ -340,6 +375,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = narrowed(large, n).checkpoint()
         small = meet(large, nearest(large)).where("u > m")
         now = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v")
-        now = narrowed(now.mapInArrow(_forest, "u long, v long").distinct(), n).checkpoint()
+        now = narrowed(now.mapInArrow(giving_back(_forest), "u long, v long").distinct(), n).checkpoint()
         tidy(now.sparkSession)
     raise RuntimeError("components didn't settle")

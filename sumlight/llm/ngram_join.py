@@ -42,7 +42,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -50,12 +50,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, WordHashes, by_part, chunks, components, documents, free, grams, groups, join_spread, mix, narrow, narrowed, pack_gaps, part_count, part_keys, parts_of, prepare, read, tidy, unpack_gaps, widen
+from .common import LAST, WordHashes, by_part, chunks, components, documents, free, giving_back, grams, groups, join_spread, mix, narrow, narrowed, pack_gaps, part_count, part_keys, parts_of, prepare, read, tidy, tidy_executors, unpack_gaps, widen
 
 #: Tokens that a task takes up at a time; each makes up to two keys, and these are sorted.
 CHUNK = 1_000_000
 #: Entries that a partition of the index holds.
 PER_PART = 3_000_000
+#: Of those, how many are unpacked at a time.
+SLICE = 500_000
 #: Pairs of sets that a task makes at a time, before repeated ones become one.
 PAIRS = 250_000
 BLOCK = 128
@@ -187,7 +189,7 @@ def _index(sent, n: int, threshold: Fraction, dealt: np.ndarray):
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets that share a key: all of a short list, to be compared; of a long one each set with the least."""
-    keys, sets, long = [], [], []
+    rows: list[tuple[bool, bytes, bytes, bytes]] = []
 
     def out(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
@@ -198,16 +200,34 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["part"] < 0:
                 yield out(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["gaps"], "<i8"), True)
             else:
-                keys.append(widen(row["keys"], 8))
-                sets.append(np.frombuffer(row["sets"], "<i8")[unpack_gaps(row["gaps"])])
-                long.append(np.full(len(keys[-1]), row["long"]))
-    if not keys:
+                rows.append((row["long"], row["keys"], row["gaps"], row["sets"]))
+    # The rows stay packed, and are unpacked for one slice of the keys after another.
+    slices = max(1, sum(len(keys) for _, keys, _, _ in rows) // (8 * SLICE))
+    for k in range(slices):
+        yield from _slice_ties(rows, k, slices, out)
+
+
+def _slice_ties(rows: list[tuple[bool, bytes, bytes, bytes]], k: int, slices: int, out: Callable[[np.ndarray, np.ndarray, bool], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_ties of the keys whose low bits are k modulo slices."""
+    keys, sets, long = [], [], []
+    for is_long, packed, gaps, names in rows:
+        key = widen(packed, 8)
+        use = np.flatnonzero((key & np.uint64(0xFFFFFFFF)) % np.uint64(slices) == k)
+        keys.append(key[use])
+        sets.append(np.frombuffer(names, "<i8")[unpack_gaps(gaps)[use]])
+        long.append(np.full(len(use), is_long))
+    if not sum(map(len, keys)):
         return
     key, name, is_long = np.concatenate(keys), np.concatenate(sets), np.concatenate(long)
-    keys, sets, long = [], [], []
+    del keys, sets, long
     order, begin = groups(key)
     del key
-    name, size = name[order], np.diff(np.append(begin, len(order)))
+    # Most lists have one set, and are left out before the rest is made.
+    size = np.diff(np.append(begin, len(order)))
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    begin, name = np.cumsum(size) - size, name[order]
+    if not len(order):
+        return
     star = np.logical_or.reduceat(is_long[order], begin) | (size > SHORT)
     del order, is_long
     least = np.repeat(np.minimum.reduceat(name, begin), size)
@@ -467,16 +487,17 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """join's columns, and rk and component: the class, null for rows without words."""
     spark = docs.sparkSession
     prepare(spark)
+    tidy_executors(spark)
     texts = documents(docs)
-    heavy = texts.mapInArrow(_frequent(n), "shingle long, n long, all long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).checkpoint()
+    heavy = texts.mapInArrow(giving_back(_frequent(n)), "shingle long, n long, all long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).checkpoint()
     total = heavy.agg(F.sum("all")).first()[0] or 0
     # At most 2**(SHARE + 1) shingles can have so many occurrences.
     often = heavy.where(F.col("n") > max(8, total >> (SHARE + 1))).select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.sort(often))
     dealt = part_keys(spark, part_count(spark, total // 2, PER_PART))
-    ties = texts.mapInArrow(_index(sent, n, threshold, dealt), _SENT).repartition(len(dealt), "part").mapInArrow(_ties, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")).checkpoint()
+    ties = texts.mapInArrow(giving_back(_index(sent, n, threshold, dealt)), _SENT).repartition(len(dealt), "part").mapInArrow(giving_back(_ties), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")).checkpoint()
 
-    rows = texts.mapInArrow(_sets(n), "rk long, doc_id long, n_shingles long, name long, sketch binary").checkpoint()
+    rows = texts.mapInArrow(giving_back(_sets(n)), "rk long, doc_id long, n_shingles long, name long, sketch binary").checkpoint()
     by_name = rows.where("name is not null").groupBy("name").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("size"))
     sketches = rows.where("name is not null").groupBy("name").agg(F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
     n_ties = ties.count()
@@ -484,16 +505,19 @@ def _classes(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     for side in ("a", "b"):
         pairs = narrowed(join_spread(pairs, sketches.toDF(side, f"size_{side}", f"sketch_{side}"), side), n_ties).checkpoint()
     tidy(spark)
-    near = pairs.mapInArrow(_compared(threshold), "a long, b long").union(ties.where("sure").select("a", "b"))
+    tidy_executors(spark)
+    near = pairs.mapInArrow(giving_back(_compared(threshold)), "a long, b long").union(ties.where("sure").select("a", "b"))
     clusters = components(near).withColumnRenamed("component", "cluster")
     members = by_name.join(clusters.withColumnRenamed("node", "name"), "name")
     placed, pairs = blocks(members, threshold)
     tidy(spark)
+    tidy_executors(spark)
     sets = texts.select("rk", "text").join(placed.select("rk", "name", "cluster", "block", "copies"), "rk").select("name", "cluster", "block", "copies", "text")
-    sets = sets.mapInArrow(_shingled(n), "name long, cluster long, block long, copies long, shingles binary")
+    sets = sets.mapInArrow(giving_back(_shingled(n)), "name long, cluster long, block long, copies long, shingles binary")
     both = pairs.select("*", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
     found = sets.join(both, ["cluster", "block"]).groupBy("cluster", "first", "second").applyInArrow(_answer(threshold), "a long, b long, links long").checkpoint()
     tidy(spark)
+    tidy_executors(spark)
     links = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("others"))
     linked = components(found.where("b is not null")).withColumnRenamed("node", "name")
     tidy(spark)

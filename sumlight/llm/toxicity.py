@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, WordHashes, crc, free, mix, prepare, read
+from .common import ODD, WordHashes, crc, free, giving_back, mix, prepare, read
 
 BITS = 20
 MOST_ROWS = 8_000
@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
         raise ValueError(f"none of the {len(held)} labelled texts has at most {most_chars} characters")
     # Equal rows become one before one task takes them, so it holds most_rows rows at most; only weights go to the driver.
     chosen = F.broadcast(docs.sparkSession.createDataFrame(fit, "order long, hash long"))
-    rows = joined.join(chosen, ["order", "hash"]).select("order", "label", "text").mapInArrow(_featurise, "order long, label int, places binary").groupBy("order").agg(F.min(F.struct("label", "places")).alias("one"))
-    found = rows.select("order", "one.label", "one.places").repartition(1).mapInArrow(_learned, "places binary, weights binary, bias double").first()
+    rows = joined.join(chosen, ["order", "hash"]).select("order", "label", "text").mapInArrow(giving_back(_featurise), "order long, label int, places binary").groupBy("order").agg(F.min(F.struct("label", "places")).alias("one"))
+    found = rows.select("order", "one.label", "one.places").repartition(1).mapInArrow(giving_back(_learned), "places binary, weights binary, bias double").first()
     return Weights(np.frombuffer(found["places"], np.int32), np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
@@ -140,7 +140,7 @@ def score(docs: DataFrame, weights: Weights, *keep: str, into: str = "score") ->
                 out = np.full(len(sums), 0.5 * (1 - 1e-9))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], into])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(giving_back(run), schema)
 
 
 def flag(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
